@@ -56,3 +56,10 @@ def worker_cache() -> dict:
 def crc_bucket(column: Column, buckets: int) -> Column:
     """crc32 of the value as text, modulo buckets: the folds of the labelled operators."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(buckets))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed package of public vocabularies keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan
-from .common import table
+from . import secret_scan, token_count
+from .common import table, tokenizer_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.spans_text(base).cast("binary"), 256).alias("base_sha256"),
         secret_scan.spans_text(F.col("spans")).alias("spans"),
     )
+
+
+#: Production parameters of the token counter: the vocabulary and the context length a text should fit.
+TOKENIZER, CONTEXT = "byte_bpe_50k.json", 1024
+
+
+@query()
+def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+    return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
