@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan, token_count
+from . import quality, secret_scan, token_count
 from .common import table, tokenizer_path
 
 QUERIES: dict = {}
@@ -69,3 +69,9 @@ TOKENIZER, CONTEXT = "byte_bpe_50k.json", 1024
 def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
     return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
+
+
+@query()
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels")))
