@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secret_scan, token_count, toxicity
+from . import language_id, quality, secret_scan, token_count, toxicity
 from .common import crc_bucket, table, tokenizer_path
 
 QUERIES: dict = {}
@@ -83,3 +83,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_bucket(F.col("doc_id"), 5) != 0)
     scored = toxicity.score(docs, index)
     return scored.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = language_id.train(docs, crc_bucket(F.col("doc_id"), 3) != 1)
+    found = language_id.identify(docs, scorer)
+    return found.select("doc_id", (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
