@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, quality, secret_scan, token_count, topk, toxicity
+from . import chat_format, language_id, piece_codec, quality, secret_scan, token_count, topk, toxicity
 from .common import crc_bucket, table, tokenizer_path
 
 QUERIES: dict = {}
@@ -128,3 +128,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 @query(_TOP_K_SQL)
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+PIECES = "piece_bpe_32k.model"
+
+
+@query()
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+    return piece_codec.digests(encoded, tokenizer_path(PIECES))
