@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, piece_codec, quality, secret_scan, token_count, topk, toxicity
+from . import chat_format, language_id, packing, piece_codec, quality, secret_scan, token_count, topk, toxicity
 from .common import crc_bucket, table, tokenizer_path
 
 QUERIES: dict = {}
@@ -137,3 +137,8 @@ PIECES = "piece_bpe_32k.model"
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = piece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
     return piece_codec.digests(encoded, tokenizer_path(PIECES))
+
+
+@query()
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
