@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import quoted
 
 BLOCK, NEIGHBOURS, EASE = 64, 15, 0.05
+#: How many times more often a term of the vocabulary stands in texts of label 1 than of label 0, at least.
+LEAST_ODDS = 9
 #: ASCII that is neither letter nor digit parts terms; letters fall to lower case. Other bytes stand as they are.
 _PARTS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -102,7 +104,7 @@ def rising(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def choose_terms(bags: list[set[bytes]], labels: np.ndarray, most: int, least_df: int = 4) -> list[bytes]:
-    """The terms whose presence tells the labels apart best, by the chi-squared statistic of the two-by-two table."""
+    """The terms that speak for label 1 best, by the chi-squared statistic of the two-by-two table."""
     df = (Counter(), Counter())
     for bag, label in zip(bags, labels, strict=True):
         df[int(label)].update(bag)
@@ -110,7 +112,7 @@ def choose_terms(bags: list[set[bytes]], labels: np.ndarray, most: int, least_df
     found = []
     for term in df[1]:
         a, b = df[1][term], df[0][term]
-        if a + b >= least_df and a * n[0] > b * n[1]:
+        if a + b >= least_df and a * n[0] >= LEAST_ODDS * b * n[1]:
             c, d, total = n[1] - a, n[0] - b, n[0] + n[1]
             found.append((-total * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * n[0] * n[1]), term))
     return [t for x, t in sorted(found)[:most] if -x > 6.0]
