@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, packing, piece_codec, quality, secret_scan, token_count, topk, toxicity
+from . import chat_format, language_id, ngram_join, packing, piece_codec, quality, secret_scan, token_count, topk, toxicity
 from .common import crc_bucket, table, tokenizer_path
 
 QUERIES: dict = {}
@@ -142,3 +142,8 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, percent=90)
