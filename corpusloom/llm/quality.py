@@ -242,6 +242,27 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1500, most_bytes: int
     return fit([r["text"].encode() for r in picked], np.array([r["good"] == 1 for r in picked], dtype=bool))
 
 
+def verdicts(model: Model, texts: list[bytes]) -> dict[str, np.ndarray]:
+    base, bins, words, per_text = measure(texts)
+    share = content_share(viterbi(model, bins, per_text), words, per_text)
+    failed = base_fails(base)
+    return {**base, "base_failed": failed, "content_share": share, "kept": ~failed & (share >= model.least_content)}
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text assess() keeps. Nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                texts = [(x.as_py() or "").encode() for x in part.column(at)]
+                yield part.filter(pa.array(verdicts(model, texts)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base counts, base_failed, content_share and kept of every row of docs.
 
@@ -254,10 +275,7 @@ def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                base, bins, words, per_text = measure([x.as_py() for x in part.column(1)])
-                share = content_share(viterbi(model, bins, per_text), words, per_text)
-                failed = base_fails(base)
-                columns = {**base, "base_failed": failed, "content_share": share, "kept": ~failed & (share >= model.least_content)}
+                columns = verdicts(model, [x.as_py() for x in part.column(1)])
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns.values())], names=["doc_id", *columns])
 
     rows = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))

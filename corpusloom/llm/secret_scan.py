@@ -162,3 +162,12 @@ def redact(text: Column, spans: Column) -> Column:
         return F.struct(out.alias("out"), F.greatest(done["at"], span["end"]).alias("at"))
 
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))))
+
+
+def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs, all columns as they are, but with every span of every text replaced by its kind in brackets."""
+    text = quoted(text_col).cast("string")
+    found = per_blob(scan_blobs(unseen_blobs(keyed_versions(docs, text_col, text_col), rules, None), rules), rules)
+    joined = docs.withColumn("__blob", blob_of(text)).join(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob", "left")
+    clean = F.when(F.col("__spans").isNull(), text).otherwise(redact(text, F.col("__spans")))
+    return joined.select(*[clean.alias(c) if c == text_col else quoted(c) for c in docs.columns])

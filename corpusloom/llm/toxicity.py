@@ -195,3 +195,15 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<id: bigint, label: int, cosine: double>>")
+
+
+def keep(docs: DataFrame, index: Index, below: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores below the limit. Nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [index.vote(*index.nearest(*index.vector(terms((x.as_py() or "").encode())))) for x in batch.column(at)]
+            yield batch.filter(pa.array(index.score(np.array(votes, dtype=np.float64)) < below))
+
+    return docs.mapInArrow(run, docs.schema)
