@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,21 +12,52 @@ from ..functions.identity import public_id
 from .graph import closed_under_references
 
 
-def char_grams(text: Column, n: int) -> Column:
-    """All stretches of n characters of a text; none if it is shorter."""
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def window_hashes(text: str, n: int) -> np.ndarray:
+    """A 64-bit hash of every stretch of n characters, in order; longer stretches grow from shorter ones by doubling."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    if len(points) < n:
+        return np.zeros(0, dtype=np.uint64)
+    step = np.uint64(0x9E3779B97F4A7C15)
+    own, size, out, done = (points + np.uint64(1)) * step, 1, None, 0
+    while True:
+        if n & size:
+            here = own[done:]
+            out = here.copy() if out is None else out[: len(here)] * step + here[: len(out)]
+            out ^= out >> np.uint64(29)
+            done += size
+        if done == n:
+            return out[: len(points) - n + 1] * step
+        own = own[:-size] * (step ^ np.uint64(2 * size)) + own[size:]
+        own ^= own >> np.uint64(31)
+        size *= 2
+
+
+def _hash_lists(pick):
+    @F.pandas_udf("array<bigint>")
+    def lists(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.unique(pick(t or "")).view(np.int64))
+
+    return lists
 
 
 def overlapping(texts: DataFrame, sources: DataFrame, n: int = 60) -> DataFrame:
-    """(id) of texts that equal a source or share n characters with one; texts and sources: id, text.
+    """(id) of texts that equal a source or share n characters with one; texts and sources: id, text, compared in lower case.
 
-    A text of n characters or more that a source contains shares its stretches, so two equi-joins on 64-bit hashes find
-    every case. Stretches are distinct within a text, and within a task for sources, before they are shuffled.
+    Any shared stretch of n characters shares the least hash of the half stretches inside it, so those few hashes find all
+    candidates; only candidates give all their stretches, which then decide. Hashes have 64 bits.
     """
+    half = n // 2
+
+    def winnowed(text: str) -> np.ndarray:
+        hashes = window_hashes(text, half)
+        return np.lib.stride_tricks.sliding_window_view(hashes, n - half + 1).min(axis=1) if len(hashes) > n - half else np.zeros(0, dtype=np.uint64)
+
     key = T.lower_key(F.coalesce(F.col("text"), F.lit("")))
-    grams = lambda df: df.select("id", F.explode(F.array_distinct(F.transform(char_grams(key, n), lambda g: F.xxhash64(g)))).alias("gram"))
-    shared = grams(texts).join(grams(sources).select("gram").distinct(), "gram", "left_semi").select("id")
-    equal = texts.where(key != "").select("id", F.xxhash64(key).alias("gram")).join(sources.select(F.xxhash64(key).alias("gram")).distinct(), "gram", "left_semi").select("id")
+    few, every = _hash_lists(winnowed), _hash_lists(lambda t: window_hashes(t, n))
+    marks = lambda df, how: df.select("id", F.explode(how(key)).alias("gram"))
+    candidates = marks(texts, few).join(marks(sources, few).select("gram").distinct(), "gram", "left_semi").select("id").distinct()
+    shared = marks(texts.join(candidates, "id", "left_semi"), every).join(marks(sources, every).select("gram").distinct(), "gram", "left_semi").select("id")
+    equal = texts.where(key != "").select("id", F.sha2(key.cast("binary"), 256).alias("gram")).join(sources.select(F.sha2(key.cast("binary"), 256).alias("gram")).distinct(), "gram", "left_semi").select("id")
     return shared.unionByName(equal).distinct()
 
 

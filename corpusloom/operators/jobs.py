@@ -30,8 +30,8 @@ def ready(jobs: DataFrame, needs: DataFrame) -> DataFrame:
 
 def in_order(jobs: DataFrame, preferred: list[str] | None = None) -> DataFrame:
     """Jobs as they are claimed: preferred subjects, terms, priority, age, subject, id."""
-    first = F.when(F.col("subject_key").isin(*preferred), 0).otherwise(1) if preferred else F.lit(0)
-    return jobs.orderBy(first, F.when(F.col("subject_key").startswith("term:"), 0).otherwise(1), "priority", "created_at", "subject_key", "job_id")
+    first = [F.when(F.col("subject_key").isin(*preferred), 0).otherwise(1)] if preferred else []
+    return jobs.orderBy(*first, F.when(F.col("subject_key").startswith("term:"), 0).otherwise(1), "priority", "created_at", "subject_key", "job_id")
 
 
 def claim(jobs: DataFrame, needs: DataFrame, preferred: list[str] | None = None) -> DataFrame:

@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-WORD_ENTRY = StructType.fromDDL("id string, headword string, display_headword string, section string, date_label string, plain_text string, paragraphs array<struct<text: string>>, related_targets array<string>, source_pages array<string>")
-_SIDE = "struct<primary: string, follow_ups: array<string>, tokens: struct<primary: array<string>>>"
-CARD_BOOK = StructType.fromDDL(
-    f"id string, kind string, ordinal string, source struct<language: string, primary: string, follow_ups: array<string>>, source_hash string, "
-    f"languages struct<en: {_SIDE}, ja: {_SIDE}, zh: {_SIDE}>, evidence struct<pdf_page: string, epub_member: string>"
+
+
+def _struct(**fields) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
+
+
+TEXT, NUMBER, FLAG, TEXTS = StringType(), IntegerType(), BooleanType(), ArrayType(StringType())
+WORD_ENTRY = _struct(
+    id=TEXT, headword=TEXT, display_headword=TEXT, section=TEXT, date_label=TEXT, plain_text=TEXT,
+    paragraphs=ArrayType(_struct(text=TEXT)), related_targets=TEXTS, source_pages=TEXTS,
 )
-MORPHOLOGY = StructType.fromDDL("id string, headword string, cells array<string>, source_page string")
-_WRITTEN = "array<struct<text: string, common: boolean, appliesToKanji: array<string>>>"
-JMDICT = StructType.fromDDL(
-    f"words array<struct<id: string, kanji: {_WRITTEN}, kana: {_WRITTEN}, "
-    "sense: array<struct<appliesToKanji: array<string>, appliesToKana: array<string>, partOfSpeech: array<string>, gloss: array<struct<lang: string, text: string>>>>>>"
+_SIDE = _struct(primary=TEXT, follow_ups=TEXTS, tokens=_struct(primary=TEXTS))
+CARD_BOOK = _struct(
+    id=TEXT, kind=TEXT, ordinal=TEXT, source=_struct(language=TEXT, primary=TEXT, follow_ups=TEXTS), source_hash=TEXT,
+    languages=_struct(en=_SIDE, ja=_SIDE, zh=_SIDE), evidence=_struct(pdf_page=TEXT, epub_member=TEXT),
 )
+MORPHOLOGY = _struct(id=TEXT, headword=TEXT, cells=TEXTS, source_page=TEXT)
+WRITTEN = ArrayType(_struct(text=TEXT, common=FLAG, appliesToKanji=TEXTS))
+_SENSE = _struct(appliesToKanji=TEXTS, appliesToKana=TEXTS, partOfSpeech=TEXTS, gloss=ArrayType(_struct(lang=TEXT, text=TEXT)))
+JMDICT = _struct(words=ArrayType(_struct(id=TEXT, kanji=WRITTEN, kana=WRITTEN, sense=ArrayType(_SENSE))))
+SECTIONS = ArrayType(_struct(heading=TEXT, level=NUMBER, line_start=NUMBER, line_end=NUMBER, excerpt=TEXT))
+LINKS = ArrayType(_struct(target=TEXT, label=TEXT))
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:

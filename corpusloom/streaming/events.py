@@ -21,13 +21,13 @@ def read_events(spark: SparkSession, folder: str, schema, files_per_batch: int =
 
 def window_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total): counts and sums per window and type; rows later than `late` behind the newest are dropped."""
-    grouped = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
+    grouped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Each event_id once, as long as its repeats come within `late`."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def cooled_down(events: DataFrame, hours: int = 1) -> DataFrame:
