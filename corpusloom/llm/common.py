@@ -63,3 +63,18 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def keep_rows(docs: DataFrame, text_col: str, kept, step: int = 1000) -> DataFrame:
+    """The rows of docs, all columns as they are, that kept(texts as bytes) marks; nothing is shuffled, nulls are empty texts."""
+    import pyarrow as pa
+
+    at, plain = docs.columns.index(text_col), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                yield part.filter(pa.array(kept([(x.as_py() or "").encode() for x in part.column(at)])))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import keep_rows, quoted
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -251,16 +251,7 @@ def verdicts(model: Model, texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose text assess() keeps. Nothing is shuffled."""
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                texts = [(x.as_py() or "").encode() for x in part.column(at)]
-                yield part.filter(pa.array(verdicts(model, texts)["kept"]))
-
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, text_col, lambda texts: verdicts(model, texts)["kept"])
 
 
 def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import keep_rows, quoted
 
 BLOCK, NEIGHBOURS, EASE = 64, 15, 0.05
 #: How many times more often a term of the vocabulary stands in texts of label 1 than of label 0, at least.
@@ -199,11 +199,5 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
 def keep(docs: DataFrame, index: Index, below: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose text scores below the limit. Nothing is shuffled."""
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            votes = [index.vote(*index.nearest(*index.vector(terms((x.as_py() or "").encode())))) for x in batch.column(at)]
-            yield batch.filter(pa.array(index.score(np.array(votes, dtype=np.float64)) < below))
-
-    return docs.mapInArrow(run, docs.schema)
+    score_of = lambda text: index.vote(*index.nearest(*index.vector(terms(text))))
+    return keep_rows(docs, text_col, lambda texts: index.score(np.array([score_of(t) for t in texts], dtype=np.float64)) < below)
