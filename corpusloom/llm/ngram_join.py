@@ -61,23 +61,58 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(quoted(id_col).cast("bigint").alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
-def _packed(counts: np.ndarray) -> bytes:
+#: Parts of a table of counts: how two are put together, and of what type they are.
+ADD, EITHER = (np.add, np.uint32), (np.maximum, np.uint8)
+_PARTS = "part int, data binary"
+
+
+def _in_parts(table: np.ndarray) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    return zstandard.compress(counts.astype(np.uint32).tobytes(), 1)
+    for part in range(len(table) // PART):
+        piece = table[part * PART : (part + 1) * PART]
+        if piece.any():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(piece.tobytes(), 1)], pa.binary())], names=["part", "data"])
+
+
+def _together(sent: DataFrame, bits: int, how: tuple) -> np.ndarray:
+    """The tables that tasks sent in parts, as one of 2**bits bytes; over two exchanges, so that no task reads more than a share.
 
+    Counts come back as levels: eight times their binary logarithm.
+    """
+    combine, kind = how
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.frombuffer(zstandard.decompress(data.as_py()), dtype=kind)
+                sums[part] = combine(sums[part], found) if part in sums else found
+        for part, table in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(table.tobytes(), 1)], pa.binary())], names=["part", "data"])
+
+    def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for batch in add(batches):
+            counts = np.frombuffer(zstandard.decompress(batch.column(1)[0].as_py()), dtype=kind).astype(np.float64)
+            level = np.minimum(255, np.round(8 * np.log2(counts + 1))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress(level.tobytes(), 1)], pa.binary())], names=["part", "data"])
 
-def _unpacked(data: bytes) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.decompress(data), dtype=np.uint32)
+    salted = sent.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
+    once = salted.repartition(F.col("part"), F.col("salt")).select("part", "data").mapInArrow(add, _PARTS)
+    out = np.zeros(1 << bits, dtype=np.uint8)
+    for row in once.repartition(F.col("part")).mapInArrow(levelled if how is ADD else add, _PARTS).collect():
+        out[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(zstandard.decompress(bytes(row["data"])), dtype=np.uint8)
+    return out
 
 
 def frequency_levels(texts: DataFrame, n: int, bits: int) -> bytes:
-    """One byte for each of 2**bits hash ranges: the logarithm of how many distinct shingles of all texts fall there.
-
-    Every task sends its counts in parts; the parts add up over two exchanges, so that no task reads more than a share.
-    """
+    """One byte for each of 2**bits hash ranges: the logarithm of how many distinct shingles of all texts fall there."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, dtype=np.uint32)
@@ -91,32 +126,35 @@ def frequency_levels(texts: DataFrame, n: int, bits: int) -> bytes:
                     own, held = [], 0
             if own:
                 np.add.at(counts, np.concatenate(own), 1)
-        yield from parts(counts)
+        yield from _in_parts(counts)
 
-    def parts(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for part in range(len(counts) // PART):
-            piece = counts[part * PART : (part + 1) * PART]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(piece)], pa.binary())], names=["part", "counts"])
+    return _together(texts.select("text").mapInArrow(count, _PARTS), bits, ADD).tobytes()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = _unpacked(data.as_py())
-                sums[part] = sums[part] + found if part in sums else found.copy()
-        for part, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(counts)], pa.binary())], names=["part", "counts"])
-
-    schema = "part int, counts binary"
-    sent = texts.select("text").mapInArrow(count, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-    once = sent.repartition(F.col("part"), F.col("salt")).select("part", "counts").mapInArrow(add, schema)
-    total = once.repartition(F.col("part")).mapInArrow(add, schema)
-    levels = np.zeros(1 << bits, dtype=np.uint8)
-    for row in total.collect():
-        counts = _unpacked(bytes(row["counts"])).astype(np.float64)
-        levels[row["part"] * PART : (row["part"] + 1) * PART] = np.minimum(255, np.round(8 * np.log2(counts + 1)))
-    return levels.tobytes()
+
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Sieve:
+    """A bitmap of 2**bits hash places in which every key of a column has its place: what it lacks is surely no key.
+
+    Its size doesn't grow with the keys; the more they are, the more others pass too. It only spares shuffles.
+    """
+
+    def __init__(self, keys: DataFrame, bits: int):
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(1 << bits, dtype=np.uint8)
+            for batch in batches:
+                table[_places(batch.column(0).to_numpy(), bits)] = 1
+            yield from _in_parts(table)
+
+        self.bits = bits
+        found = np.packbits(_together(keys.mapInArrow(mark, _PARTS), bits, EITHER))
+        self.shared = keys.sparkSession.sparkContext.broadcast(found.tobytes())
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        place = _places(keys, self.bits)
+        return (np.frombuffer(self.shared.value, dtype=np.uint8)[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def prefixes(texts: DataFrame, n: int, percent: int, levels: bytes, bits: int) -> DataFrame:
@@ -144,16 +182,28 @@ def prefixes(texts: DataFrame, n: int, percent: int, levels: bytes, bits: int) -
     return texts.mapInArrow(run, "doc_id bigint, size bigint, f1 bigint, f2 bigint, g1 bigint, g2 bigint, prefix array<bigint>")
 
 
-def buckets(marked: DataFrame) -> DataFrame:
+def buckets(marked: DataFrame, bits: int) -> DataFrame:
     """(bucket, cls, size, at): classes that may have partners, in the buckets where they meet them.
 
     A bucket is a prefix shingle that stands in several groups, or a group of several classes. at is the shingle's place.
     """
     rows = marked.where("size > 0 and doc_id is not null")
     classes = rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("cls"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.first("size").alias("size"))
-    groups = rows.groupBy("g1", "g2").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    postings = groups.select("g1", "g2", F.posexplode("prefix").alias("at", "bucket"))
-    shared = postings.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    groups = stage(rows.groupBy("g1", "g2").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")), "groups")
+    shared = stage(groups.select(F.explode("prefix").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "shared")
+    sieve = Sieve(shared, bits)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            token, per = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(per)), per)
+            at = np.arange(len(token)) - np.repeat(np.cumsum(per) - per, per)
+            keep = sieve.passes(token)
+            columns = [batch.column(0).take(pa.array(row[keep])), batch.column(1).take(pa.array(row[keep])), pa.array(token[keep]), pa.array(at[keep].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["g1", "g2", "bucket", "at"])
+
+    postings = groups.select("g1", "g2", "prefix").mapInArrow(post, "g1 bigint, g2 bigint, bucket bigint, at int")
     meeting = postings.join(shared, "bucket")
     expanded = meeting.join(classes, ["g1", "g2"]).select("bucket", "cls", "size", "at")
     several = classes.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g1", "g2")
@@ -161,14 +211,17 @@ def buckets(marked: DataFrame) -> DataFrame:
     return expanded.unionByName(within)
 
 
-def shingle_sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cls, shingles): the sorted hashes of the wanted classes' sets, eight bytes each. One row of each id serves."""
+def shingle_sets(texts: DataFrame, wanted: DataFrame, n: int, bits: int) -> DataFrame:
+    """(cls, shingles): the sorted hashes of the wanted ids' sets, eight bytes each. An id of several texts has several."""
+    sieve = Sieve(wanted.select("cls"), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingles(x.as_py(), n).tobytes() for x in batch.column(2)], pa.binary())], names=["cls", "size", "shingles"])
+            batch = batch.filter(pa.array(sieve.passes(batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py(), n).tobytes() for x in batch.column(1)], pa.binary())], names=["cls", "shingles"])
 
-    return texts.join(wanted, texts["doc_id"] == wanted["cls"]).select("cls", "size", "text").mapInArrow(run, "cls bigint, size bigint, shingles binary").where("length(shingles) = 8 * size").drop("size")
+    found = texts.where("doc_id is not null").mapInArrow(run, "cls bigint, shingles binary")
+    return found.join(wanted, "cls", "left_semi").dropDuplicates(["cls", "shingles"])
 
 
 def may_link(percent: int):
@@ -190,12 +243,15 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def verify(key: tuple, many: pa.Table, one: pa.Table) -> pa.Table:
         found: list[int] = []
         if one.num_rows and many.num_rows:
-            mine = np.frombuffer(one.column("shingles_")[0].as_py(), dtype=np.uint64)
+            hub = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in one.column("shingles_")]
             for spoke, data in zip(many.column("spoke").to_pylist(), many.column("shingles"), strict=True):
                 other = np.frombuffer(data.as_py(), dtype=np.uint64)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                if 100 * both >= percent * (len(mine) + len(other) - both):
-                    found.append(spoke)
+                for mine in hub:
+                    if 100 * min(len(mine), len(other)) >= percent * max(len(mine), len(other)):
+                        both = len(np.intersect1d(mine, other, assume_unique=True))
+                        if 100 * both >= percent * (len(mine) + len(other) - both):
+                            found.append(spoke)
+                            break
         return pa.table({"hub": pa.array([key[0].as_py()] * len(found), pa.int64()), "spoke": pa.array(found, pa.int64())})
 
     return spokes.groupBy("hub", "chunk").cogroup(hubs.groupBy("hub_", "chunk_")).applyInArrow(verify, "hub bigint, spoke bigint")
@@ -225,36 +281,37 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("component"))
 
 
-def _links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links that connect: (a, b). met: buckets()' rows, written."""
+def _connected(met: DataFrame, texts: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
+    """components()'s rows for all links. met: buckets()' rows, written. Only classes that meet a partner get their sets."""
     count = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("leader"))
     few = met.join(count.where(F.col("n") <= ALL_PAIRS).select("bucket"), "bucket")
-    side = lambda df, s: df.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in ("cls", "size", "at")])
-    close = side(few, "a").join(side(few, "b"), "bucket").where(F.col("a_cls") < F.col("b_cls")).where(may_link(percent))
+    side = lambda df, s, *more: df.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in ("cls", "size", "at", *more)])
+    pair = lambda df: df.where(may_link(percent)).select(F.col("a_cls").alias("hub"), F.col("b_cls").alias("spoke"))
+    found = lambda pairs: stage(linked(pairs, sets, percent).toDF("a", "b"), "links")
+    close = side(few, "a").join(side(few, "b"), "bucket").where(F.col("a_cls") < F.col("b_cls"))
     large = stage(met.join(count.where(F.col("n") > ALL_PAIRS), "bucket"), "large-buckets")
-    of_leader = large.where("cls = leader").select("bucket", F.col("cls").alias("a_cls"), F.col("size").alias("a_size"), F.col("at").alias("a_at"))
-    star = side(large.where("cls <> leader"), "b").join(of_leader, "bucket").where(may_link(percent))
-    pair = lambda df: df.select(F.col("a_cls").alias("hub"), F.col("b_cls").alias("spoke"))
+    star = side(large.where("cls <> leader"), "b").join(side(large.where("cls = leader"), "a"), "bucket")
     tried = stage(pair(close).unionByName(pair(star)).distinct(), "pairs")
-    links = stage(linked(tried, sets, percent).select(F.col("hub").alias("a"), F.col("spoke").alias("b")), "links")
+    wanted = tried.select(F.col("hub").alias("cls")).unionByName(tried.select(F.col("spoke").alias("cls"))).unionByName(large.select("cls")).distinct()
+    sets = stage(shingle_sets(texts, stage(wanted, "wanted"), n, bits), "sets")
+    named = components(found(tried))
     for step in range(PROBE_ROUNDS + 1):
+        # buckets of one component hold no pair that could still matter
+        inside = large.select("bucket", "cls", "size", "at").join(named, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        open_ = inside.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+        large = stage(inside.join(open_.select("bucket", "n"), "bucket"), "large-buckets")
         if large.isEmpty():
             break
-        named = large.select("bucket", "cls", "size", "at").join(components(links), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        open_ = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-        large = stage(named.join(open_.select("bucket", "n"), "bucket"), "large-buckets")
-        chosen = large if step == PROBE_ROUNDS else large.where(F.pmod(F.xxhash64("cls", F.lit(step)), F.col("n")) < PROBES)
-        one = chosen.select("bucket", F.col("cls").alias("a_cls"), F.col("size").alias("a_size"), F.col("at").alias("a_at"), F.col("component").alias("a_component"))
-        many = large.select("bucket", F.col("cls").alias("b_cls"), F.col("size").alias("b_size"), F.col("at").alias("b_at"), F.col("component").alias("b_component"))
-        met_again = many.join(one, "bucket").where("a_component <> b_component").where(may_link(percent))
-        if step == PROBE_ROUNDS:
-            met_again = met_again.where("a_cls < b_cls")
-        fresh = pair(met_again).distinct().join(tried, ["hub", "spoke"], "left_anti")
-        fresh = fresh.join(tried.select(F.col("hub").alias("spoke"), F.col("spoke").alias("hub")), ["hub", "spoke"], "left_anti")
-        fresh = stage(fresh, "pairs")
+        last = step == PROBE_ROUNDS
+        probes = large if last else large.where(F.pmod(F.xxhash64("cls", F.lit(step)), F.col("n")) < PROBES)
+        meet = side(large, "b", "component").join(side(probes, "a", "component"), "bucket").where("a_component <> b_component")
+        meet = pair(meet.where("a_cls < b_cls") if last else meet).distinct().join(tried, ["hub", "spoke"], "left_anti")
+        fresh = stage(meet.join(tried.select(F.col("hub").alias("spoke"), F.col("spoke").alias("hub")), ["hub", "spoke"], "left_anti"), "pairs")
         tried = tried.unionByName(fresh)
-        links = links.unionByName(stage(linked(fresh, sets, percent).select(F.col("hub").alias("a"), F.col("spoke").alias("b")), "links"))
-    return links
+        new = found(fresh)
+        if not new.isEmpty():
+            named = components(named.select(F.col("cls").alias("a"), F.col("component").alias("b")).unionByName(new))
+    return named
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
@@ -268,10 +325,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     texts = _texts(docs, id_col, text_col)
     bits = bits or min(26, max(20, math.ceil(math.log2(max(1, docs.count()))) + 4))
     marked = stage(prefixes(texts, n, percent, frequency_levels(texts, n, bits), bits), "prefixes")
-    met = stage(buckets(marked), "buckets")
-    wanted = met.select("cls", "size").distinct()
-    sets = stage(shingle_sets(texts, wanted, n).dropDuplicates(["cls"]), "sets")
-    named = components(_links(met, sets, percent))
+    met = stage(buckets(marked, min(26, bits + 2)), "buckets")
+    named = _connected(met, texts, n, percent, bits)
     classes = marked.where("size > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("cls"))
     classes = classes.join(named, "cls", "left").select("f1", "f2", F.coalesce("component", "cls").alias("component"))
     rows = marked.select("doc_id", "size", "f1", "f2")
