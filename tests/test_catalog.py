@@ -16,5 +16,5 @@ def test_query_without_sql_runs(spark, sf, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 10
+    assert 0 < e.entry(spark).count() <= 10
     assert set(e.oracle_sql()) <= set(e.queries())
