@@ -7,7 +7,7 @@
 3. Groups that share a prefix shingle meet in that shingle's bucket; groups expand to their classes there. Buckets of few
    classes give all their pairs. In large ones every class first meets the bucket's leader, then some probes, and in the end
    every class of another component, so that pairs already connected are never listed and none is missed.
-4. Pairs are verified on whole shingle sets; links become components by alternating stars.
+4. Pairs are verified on the shingle sets of whole texts; links become components by alternating stars.
 """
 
 from __future__ import annotations
@@ -211,17 +211,16 @@ def buckets(marked: DataFrame, bits: int) -> DataFrame:
     return expanded.unionByName(within)
 
 
-def shingle_sets(texts: DataFrame, wanted: DataFrame, n: int, bits: int) -> DataFrame:
-    """(cls, shingles): the sorted hashes of the wanted ids' sets, eight bytes each. An id of several texts has several."""
+def texts_of(texts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """(cls, text) of the wanted ids. A text is a quarter of its hashes' size. An id of several texts has several rows."""
     sieve = Sieve(wanted.select("cls"), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(sieve.passes(batch.column(0).to_numpy())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py(), n).tobytes() for x in batch.column(1)], pa.binary())], names=["cls", "shingles"])
+            yield batch.filter(pa.array(sieve.passes(batch.column(0).to_numpy())))
 
-    found = texts.where("doc_id is not null").mapInArrow(run, "cls bigint, shingles binary")
-    return found.join(wanted, "cls", "left_semi").dropDuplicates(["cls", "shingles"])
+    found = texts.where("doc_id is not null").select(F.col("doc_id").alias("cls"), "text").mapInArrow(run, "cls bigint, text binary")
+    return found.join(wanted, "cls", "left_semi").dropDuplicates(["cls", "text"])
 
 
 def may_link(percent: int):
@@ -232,20 +231,23 @@ def may_link(percent: int):
     return (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)) & (left >= needed)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(hub, spoke) of the given pairs whose sets are similar enough. A hub's set goes once to every CHUNK of its spokes."""
+def linked(pairs: DataFrame, held: DataFrame, n: int, percent: int) -> DataFrame:
+    """(hub, spoke) of the given pairs whose shingle sets are similar enough; held: texts_of()'s rows.
+
+    A hub's text goes once to every CHUNK of its spokes.
+    """
     chunks = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     dealt = pairs.join(chunks, "hub").select("hub", "spoke", F.pmod(F.xxhash64("spoke"), F.col("chunks")).cast("int").alias("chunk"))
-    set_of = lambda name: sets.select(F.col("cls").alias(name), "shingles")
-    spokes = dealt.join(set_of("spoke"), "spoke").select("hub", "chunk", "spoke", "shingles")
-    hubs = dealt.select("hub", "chunk").distinct().join(set_of("hub"), "hub").select("hub", "chunk", "shingles").toDF("hub_", "chunk_", "shingles_")
+    text_of = lambda name: held.select(F.col("cls").alias(name), "text")
+    spokes = dealt.join(text_of("spoke"), "spoke").select("hub", "chunk", "spoke", "text")
+    hubs = dealt.select("hub", "chunk").distinct().join(text_of("hub"), "hub").select("hub", "chunk", "text").toDF("hub_", "chunk_", "text_")
 
     def verify(key: tuple, many: pa.Table, one: pa.Table) -> pa.Table:
         found: list[int] = []
         if one.num_rows and many.num_rows:
-            hub = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in one.column("shingles_")]
-            for spoke, data in zip(many.column("spoke").to_pylist(), many.column("shingles"), strict=True):
-                other = np.frombuffer(data.as_py(), dtype=np.uint64)
+            hub = [shingles(x.as_py(), n) for x in one.column("text_")]
+            for spoke, text in zip(many.column("spoke").to_pylist(), many.column("text"), strict=True):
+                other = shingles(text.as_py(), n)
                 for mine in hub:
                     if 100 * min(len(mine), len(other)) >= percent * max(len(mine), len(other)):
                         both = len(np.intersect1d(mine, other, assume_unique=True))
@@ -282,18 +284,18 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _connected(met: DataFrame, texts: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
-    """components()'s rows for all links. met: buckets()' rows, written. Only classes that meet a partner get their sets."""
+    """components()'s rows for all links. met: buckets()' rows, written. Only classes that meet a partner are read again."""
     count = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("leader"))
     few = met.join(count.where(F.col("n") <= ALL_PAIRS).select("bucket"), "bucket")
     side = lambda df, s, *more: df.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in ("cls", "size", "at", *more)])
     pair = lambda df: df.where(may_link(percent)).select(F.col("a_cls").alias("hub"), F.col("b_cls").alias("spoke"))
-    found = lambda pairs: stage(linked(pairs, sets, percent).toDF("a", "b"), "links")
+    found = lambda pairs: stage(linked(pairs, held, n, percent).toDF("a", "b"), "links")
     close = side(few, "a").join(side(few, "b"), "bucket").where(F.col("a_cls") < F.col("b_cls"))
     large = stage(met.join(count.where(F.col("n") > ALL_PAIRS), "bucket"), "large-buckets")
     star = side(large.where("cls <> leader"), "b").join(side(large.where("cls = leader"), "a"), "bucket")
     tried = stage(pair(close).unionByName(pair(star)).distinct(), "pairs")
     wanted = tried.select(F.col("hub").alias("cls")).unionByName(tried.select(F.col("spoke").alias("cls"))).unionByName(large.select("cls")).distinct()
-    sets = stage(shingle_sets(texts, stage(wanted, "wanted"), n, bits), "sets")
+    held = stage(texts_of(texts, stage(wanted, "wanted"), bits), "texts")
     named = components(found(tried))
     for step in range(PROBE_ROUNDS + 1):
         # buckets of one component hold no pair that could still matter
@@ -323,9 +325,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     columns take no part; an empty table gives no rows. Hashes of 64 bits stand for shingles, of 128 for sets.
     """
     texts = _texts(docs, id_col, text_col)
-    bits = bits or min(26, max(20, math.ceil(math.log2(max(1, docs.count()))) + 4))
+    bits = bits or min(26, max(20, math.ceil(math.log2(max(1, docs.count()))) + 2))
     marked = stage(prefixes(texts, n, percent, frequency_levels(texts, n, bits), bits), "prefixes")
-    met = stage(buckets(marked, min(26, bits + 2)), "buckets")
+    met = stage(buckets(marked, min(26, bits + 4)), "buckets")
     named = _connected(met, texts, n, percent, bits)
     classes = marked.where("size > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("cls"))
     classes = classes.join(named, "cls", "left").select("f1", "f2", F.coalesce("component", "cls").alias("component"))
