@@ -1,9 +1,13 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The index holds a bounded sample of labelled texts. Its postings are laid out in blocks of examples, each with the largest
-weight a term has there; a query bounds every block from its own terms, visits blocks from the best bound down, and stops
-when no bound left can reach the k-th neighbour. Neighbours vote by 1 / (distance + EASE); votes of the examples
-themselves, each without itself, calibrate them to scores. The document frequencies count all documents.
+The index holds a bounded sample of labelled texts with all their terms. Its postings are laid out in blocks of examples,
+each with the largest weight a term has there; a query bounds every block from its own terms, visits blocks from the best
+bound down, and stops when no bound left can reach the k-th neighbour. Neighbours vote by 1 / (distance + EASE); votes of
+the examples themselves, each without itself, calibrate them to scores.
+
+Every text is normed over all its terms, and document frequencies count all documents. Terms of the examples are in the
+index; what else a text holds changes no order of its neighbours, only its norm, so those terms are joined to the written
+table of all frequencies, which is sent nowhere whole. There terms are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -11,72 +15,132 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, quoted
+from .common import quoted, stage
 
 BLOCK, NEIGHBOURS, EASE = 64, 15, 0.05
-#: How many times more often a term of the vocabulary stands in texts of label 1 than of label 0, at least.
-LEAST_ODDS = 9
 #: ASCII that is neither letter nor digit parts terms; letters fall to lower case. Other bytes stand as they are.
 _PARTS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: Distinct terms a task counts before it sends them on.
+_FLUSH = 300_000
 
 
 def terms(text: bytes) -> list[bytes]:
     return text.lower().translate(_PARTS).split()
 
 
+def hashed(term: bytes) -> int:
+    return int.from_bytes(blake2b(term, digest_size=8).digest(), "little", signed=True)
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges, one range after the other, and which range each is of."""
+    n = ends - starts
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + np.repeat(starts - (np.cumsum(n) - n), n), of
+
+
+class Postings:
+    """Weights by term and example; a run is what a term has in one block. postings[terms] is dense."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        self.shape = (n_terms, len(vectors))
+        self.blocks = -(-len(vectors) // BLOCK)
+        term = np.concatenate([np.zeros(0, dtype=np.int64), *[rows for rows, _ in vectors]])
+        example = np.repeat(np.arange(len(vectors)), np.array([len(rows) for rows, _ in vectors], dtype=np.int64))
+        order = np.lexsort((example, term))
+        term, self.example = term[order], example[order].astype(np.int64)
+        self.value = np.concatenate([np.zeros(0), *[values for _, values in vectors]])[order]
+        run, self.run_start = np.unique(term * max(1, self.blocks) + self.example // BLOCK, return_index=True)
+        self.run_max = np.maximum.reduceat(self.value, self.run_start) if len(run) else np.zeros(0)
+        self.run_block = run % max(1, self.blocks)
+        self.first_run = np.searchsorted(run // max(1, self.blocks), np.arange(n_terms + 1))
+        self.run_start = np.append(self.run_start, len(term))
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        at, of = ranges(self.run_start[self.first_run[rows]], self.run_start[self.first_run[rows + 1]])
+        out = np.zeros((len(rows), self.shape[1]))
+        out[of, self.example[at]] = self.value[at]
+        return out
+
+
 @dataclass
 class Index:
-    """vocabulary: term to row; idf by row; weights: (terms, examples) unit columns; labels, ids and masses of examples."""
+    """vocabulary: term of an example to row; idf by row; weights: unit columns of examples; labels, ids and masses of
+    examples; frequencies: (term, df) of every term of the documents, by hash, n_documents their number."""
 
     vocabulary: dict[bytes, int]
     idf: np.ndarray
-    weights: np.ndarray
+    weights: Postings
     labels: np.ndarray
     ids: list
     masses: np.ndarray
     prior: float
     steps: tuple[np.ndarray, np.ndarray] | None = None
-
-    def __post_init__(self):
-        blocks = -(-self.weights.shape[1] // BLOCK)
-        padded = np.zeros((self.weights.shape[0], blocks * BLOCK))
-        padded[:, : self.weights.shape[1]] = self.weights
-        self.weights_by_block = padded.reshape(len(padded), blocks, BLOCK)
-        self.block_max = self.weights_by_block.max(axis=2) if blocks else np.zeros((len(padded), 0))
+    frequencies: DataFrame | None = None
+    n_documents: int = 0
+
+    def __getstate__(self):
+        return {**self.__dict__, "frequencies": None}
+
+    def parts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, int]]]:
+        """Rows of a text's terms and their TF-IDF weights; the terms no example has, and how often each stands there."""
+        rows, times, outside = [], [], []
+        for term, n in Counter(words).items():
+            if (row := self.vocabulary.get(term)) is None:
+                outside.append((term, n))
+            else:
+                rows.append(row)
+                times.append(n)
+        at = np.array(rows, dtype=np.int64)
+        return at, (1 + np.log(np.array(times, dtype=np.float64))) * self.idf[at], outside
 
     def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of a text's terms and their TF-IDF weights, of length 1."""
-        counts = Counter(i for i in map(self.vocabulary.get, words) if i is not None)
-        rows = np.fromiter(counts.keys(), np.int64, len(counts))
-        weights = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[rows]
-        norm = np.sqrt(weights @ weights)
-        return rows, weights / norm if norm else weights
+        """Rows of a text's terms and their TF-IDF weights, normed over all terms of the text; for the driver, as it asks frequencies."""
+        rows, weights, outside = self.parts(words)
+        square = weights @ weights
+        if outside and self.frequencies is not None:
+            times = {hashed(t): n for t, n in outside}
+            df = dict(self.frequencies.where(F.col("term").isin(list(times))).collect())
+            square += sum(((1 + np.log(n)) * (np.log((1 + self.n_documents) / (1 + df.get(t, 0))) + 1)) ** 2 for t, n in times.items())
+        return rows, weights / np.sqrt(square) if square else weights
 
     def nearest(self, rows: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest positive cosine, ties to the earlier example: their numbers and cosines."""
-        if not len(rows) or not self.block_max.shape[1]:
+        w = self.weights
+        if not len(rows) or not w.shape[1]:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        bounds = weights @ self.block_max[rows]
+        runs, of = ranges(w.first_run[rows], w.first_run[rows + 1])
+        bounds = np.bincount(w.run_block[runs], w.run_max[runs] * weights[of], w.blocks)
         order = np.argsort(-bounds, kind="stable")
+        place = np.empty(w.blocks, dtype=np.int64)
+        place[order] = np.arange(w.blocks)
+        place = place[w.run_block[runs]]
+        by_place = np.argsort(place, kind="stable")
+        runs, scale, place, falling = runs[by_place], weights[of[by_place]], place[by_place], bounds[order]
         best_at, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        at = 0
-        while at < len(order):
-            step = order[at : at + 4]
-            if bounds[step[0]] <= 0 or len(best) >= k and bounds[step[0]] < best[k - 1] - 1e-12:
+        at, step = 0, 4
+        while at < w.blocks:
+            limit = best[k - 1] if len(best) >= k else 0.0
+            if falling[at] <= 0 or falling[at] < limit - 1e-12:
                 break
-            scores = np.tensordot(weights, self.weights_by_block[rows[:, None], step[None, :]], axes=(0, 0)).ravel()
-            numbers = (step[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = (scores > 0) & (numbers != but) & (scores >= (best[k - 1] if len(best) >= k else 0))
-            best_at, best = np.concatenate([best_at, numbers[found]]), np.concatenate([best, np.round(scores[found], 12)])
+            end = min(at + step, int(np.searchsorted(-falling, 1e-12 - limit, side="right")))
+            a, b = np.searchsorted(place, (at, end))
+            entries, which = ranges(w.run_start[runs[a:b]], w.run_start[runs[a:b] + 1])
+            scores = np.round(np.bincount(w.example[entries], w.value[entries] * scale[a:b][which], w.shape[1]), 12)
+            if but >= 0:
+                scores[but] = 0
+            found = np.flatnonzero((scores > 0) & (scores >= limit))
+            best_at, best = np.concatenate([best_at, found]), np.concatenate([best, scores[found]])
             first = np.lexsort((best_at, -best))[:k]
             best_at, best = best_at[first], best[first]
-            at += 4
+            at, step = end, 2 * step
         return best_at, best
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
@@ -103,39 +167,20 @@ def rising(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.
     return knots, levels
 
 
-def choose_terms(bags: list[set[bytes]], labels: np.ndarray, most: int, least_df: int = 4) -> list[bytes]:
-    """The terms that speak for label 1 best, by the chi-squared statistic of the two-by-two table."""
-    df = (Counter(), Counter())
-    for bag, label in zip(bags, labels, strict=True):
-        df[int(label)].update(bag)
-    n = [max(1, int((labels == v).sum())) for v in (0, 1)]
-    found = []
-    for term in df[1]:
-        a, b = df[1][term], df[0][term]
-        if a + b >= least_df and a * n[0] >= LEAST_ODDS * b * n[1]:
-            c, d, total = n[1] - a, n[0] - b, n[0] + n[1]
-            found.append((-total * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * n[0] * n[1]), term))
-    return [t for x, t in sorted(found)[:most] if -x > 6.0]
-
-
 def build(texts: list[bytes], labels: np.ndarray, ids: list, vocabulary: list[bytes], df: np.ndarray, n_documents: int, prior: float) -> Index:
-    """df counts each term of the vocabulary in all n_documents; prior is the share of label 1 among all labelled rows."""
+    """vocabulary: all terms of texts; df counts each in all n_documents; prior is the share of label 1 among all labelled rows."""
     idf = np.log((1 + n_documents) / (1 + df)) + 1
     masses = np.where(labels == 1, prior / max(1, (labels == 1).sum()), (1 - prior) / max(1, (labels == 0).sum())) * len(labels)
-    index = Index({t: i for i, t in enumerate(vocabulary)}, idf, np.zeros((len(vocabulary), 0)), labels.astype(np.float64), ids, masses, prior)
+    index = Index({t: i for i, t in enumerate(vocabulary)}, idf, Postings([], len(vocabulary)), labels.astype(np.float64), ids, masses, prior, n_documents=n_documents)
     vectors = [index.vector(terms(t)) for t in texts]
-    weights = np.zeros((len(vocabulary), len(texts)))
-    for i, (rows, values) in enumerate(vectors):
-        weights[rows, i] = values
-    index.weights = weights
-    index.__post_init__()
+    index.weights = Postings(vectors, len(vocabulary))
     votes = np.array([index.vote(*index.nearest(rows, values, but=i)) for i, (rows, values) in enumerate(vectors)])
     if len(votes) and labels.any() and not labels.all():
         index.steps = rising(votes, labels.astype(np.float64), masses)
     return index
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, most: int = 1500, most_bytes: int = 50_000, vocabulary: int = 256) -> Index:
+def train(docs: DataFrame, labels: DataFrame, learn, most: int = 1500, most_bytes: int = 50_000) -> Index:
     """Build the index from at most `most` labelled texts of each label, the first by a hash of doc_id.
 
     learn is a condition on doc_id that labelled rows must meet; texts over most_bytes serve as no example.
@@ -150,54 +195,108 @@ def train(docs: DataFrame, labels: DataFrame, learn, most: int = 1500, most_byte
     found = text.join(F.broadcast(drawn), "doc_id").orderBy("label", F.xxhash64("doc_id"), "doc_id", "text").limit(4 * most).collect()
     picked = [r for v in (0, 1) for r in [r for r in found if r["label"] == v][:most]]
     texts, truth = [r["text"].encode() for r in picked], np.array([r["label"] for r in picked], dtype=np.int64)
-    chosen = choose_terms([set(terms(t)) for t in texts], truth, vocabulary)
-    df, total = document_frequencies(docs, chosen)
-    return build(texts, truth, [r["doc_id"] for r in picked], chosen, df, total, n.get(1, 0) / max(1, sum(n.values())))
+    vocabulary = sorted({t for text in texts for t in terms(text)})
+    frequencies, total = document_frequencies(docs), docs.count()
+    index = build(texts, truth, [r["doc_id"] for r in picked], vocabulary, frequencies_of(frequencies, vocabulary), total, n.get(1, 0) / max(1, sum(n.values())))
+    index.frequencies = frequencies
+    return index
 
 
-def document_frequencies(docs: DataFrame, chosen: list[bytes]) -> tuple[np.ndarray, int]:
-    """In how many documents each chosen term stands, and how many there are; every task sends one row of counts."""
-    at = {t: i for i, t in enumerate(chosen)}
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df): in how many documents each term stands, by its hash; written, as it grows with the documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(at) + 1, dtype=np.int64)
+        df: Counter = Counter()
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([hashed(t) for t in df], pa.int64()), pa.array(list(df.values()), pa.int64())], names=["term", "df"])
+
         for batch in batches:
-            df[-1] += batch.num_rows
             for x in batch.column(0):
-                df[[i for i in map(at.get, set(terms(x.as_py()))) if i is not None]] += 1
-        rows = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(df[rows])], names=["term", "df"])
+                df.update(set(terms(x.as_py())))
+                if len(df) > _FLUSH:
+                    yield sent()
+                    df.clear()
+        yield sent()
 
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    sums = text.mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()
-    df = np.zeros(len(at) + 1, dtype=np.int64)
-    for r in sums:
-        df[r["term"]] = r["df"]
-    return df[:-1], int(df[-1])
+    return stage(text.mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")), "toxicity_frequencies")
+
+
+def frequencies_of(frequencies: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
+    """The document frequencies of a bounded vocabulary, in its order."""
+    at = np.array([hashed(t) for t in vocabulary], dtype=np.int64)
+    own = frequencies.sparkSession.createDataFrame(pa.table({"term": at}))
+    found = frequencies.join(F.broadcast(own.distinct()), "term").toArrow()
+    df = dict(zip(found["term"].to_pylist(), found["df"].to_pylist(), strict=True))
+    return np.array([df.get(int(h), 0) for h in at], dtype=np.int64)
+
+
+def neighbours(rows: DataFrame, text: str, index: Index, carried: list[str]) -> DataFrame:
+    """The carried columns of rows, with the numbers (at) of each text's nearest examples and their cosines.
+
+    text is binary. Neighbours are found where the text is; its norm then takes in the terms that no example has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, cosine, square, outside = [], [], [], []
+            for x in batch.column("__text"):
+                here, weights, others = index.parts(terms(x.as_py()))
+                own = float(weights @ weights)
+                near, near_by = index.nearest(here, weights / np.sqrt(own) if own else weights)
+                at.append(near.astype(np.int32))
+                cosine.append(near_by)
+                square.append(own)
+                outside.append([{"term": hashed(t), "times": n} for t, n in others] if len(near) else [])
+            more = [pa.array(at, pa.list_(pa.int32())), pa.array(cosine, pa.list_(pa.float64())), pa.array(square, pa.float64()), pa.array(outside, pa.list_(pa.struct([("term", pa.int64()), ("times", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*carried, "__row")], *more], names=[*carried, "__row", "__at", "__cosine", "__square", "__outside"])
+
+    numbered = rows.select(*carried, F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+    found = stage(numbered.mapInArrow(run, f"{kinds}, __row bigint, __at array<int>, __cosine array<double>, __square double, __outside array<struct<term: bigint, times: bigint>>"), "toxicity_neighbours")
+    if index.frequencies is None:
+        return found.select(*carried, F.col("__at").alias("at"), F.col("__cosine").alias("cosine"))
+    idf = F.log(F.lit(1.0 + index.n_documents) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    others = found.select("__row", F.inline("__outside")).join(index.frequencies, "term", "left")
+    others = others.groupBy("__row").agg(F.sum(F.pow((1 + F.log("times")) * idf, F.lit(2))).alias("__more"))
+    shrink = F.sqrt(F.col("__square") / (F.col("__square") + F.coalesce("__more", F.lit(0.0))))
+    whole = F.transform("__cosine", lambda c: F.round(c * F.col("__shrink"), 12))
+    return found.join(others, "__row", "left").withColumn("__shrink", shrink).select(*carried, F.col("__at").alias("at"), whole.alias("cosine"))
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, evidence) for every row of docs; evidence holds the neighbours' ids, labels and cosines, nearest first.
 
-    A null, empty or wordless text, or one without a term of the vocabulary, has no neighbours and scores as the calibrated
+    A null, empty or wordless text, or one without a term of any example, has no neighbours and scores as the calibrated
     prior. Repeated rows each get their row, null ids stay, other columns take no part, an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes, evidence = np.zeros(batch.num_rows), []
-            for i, x in enumerate(batch.column(1)):
-                at, cosine = index.nearest(*index.vector(terms(x.as_py())))
-                votes[i] = index.vote(at, cosine)
-                evidence.append([{"id": index.ids[a], "label": int(index.labels[a]), "cosine": float(c)} for a, c in zip(at, cosine, strict=True)])
+            for i, (at, cosine) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                votes[i] = index.vote(np.array(at, dtype=np.int64), np.array(cosine, dtype=np.float64))
+                evidence.append([{"id": index.ids[a], "label": int(index.labels[a]), "cosine": c} for a, c in zip(at, cosine, strict=True)])
             kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index.score(votes)), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
     rows = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<id: bigint, label: int, cosine: double>>")
+    found = neighbours(rows, "text", index, ["doc_id"])
+    return found.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<id: bigint, label: int, cosine: double>>")
 
 
 def keep(docs: DataFrame, index: Index, below: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text scores below the limit. Nothing is shuffled."""
-    score_of = lambda text: index.vote(*index.nearest(*index.vector(terms(text))))
-    return keep_rows(docs, text_col, lambda texts: index.score(np.array([score_of(t) for t in texts], dtype=np.float64)) < below)
+    """The rows of docs, all columns as they are, whose text scores below the limit."""
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*columns)
+    text = F.coalesce(F.col(columns[docs.columns.index(text_col)]).cast("string"), F.lit("")).cast("binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = zip(batch.column("at").to_pylist(), batch.column("cosine").to_pylist(), strict=True)
+            votes = np.array([index.vote(np.array(at, dtype=np.int64), np.array(cosine, dtype=np.float64)) for at, cosine in near], dtype=np.float64)
+            yield batch.select(columns).filter(pa.array(index.score(votes) < below))
+
+    found = neighbours(plain.withColumn("text", text), "text", index, columns)
+    return found.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -285,6 +285,29 @@ def test_toxicity_neighbours_are_exact_and_held_out_texts_told_apart(spark, odd,
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd, empty).collect())
 
 
+def test_toxicity_cosine_is_over_whole_texts(spark):
+    r = random.Random(6)
+    common, vile = [f"w{i}" for i in range(60)], [f"vile{i}" for i in range(8)]
+    texts = [" ".join(r.choices(common, k=12) + r.choices(vile, k=4) * (i % 2)) for i in range(40)]
+    texts += ["vile1 " + " ".join(r.choices([f"else{i}" for i in range(300)], k=900)), "vile1 vile1 elsewhere", "nothing of this"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    index = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int"), F.lit(True))
+    df = Counter(t for text in texts for t in set(text.split()))
+    def unit(text):
+        weights = {t: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in Counter(text.split()).items()}
+        return {t: w / np.sqrt(sum(v * v for v in weights.values())) for t, w in weights.items()}
+
+    units = [unit(t) for t in texts]
+    cosine = lambda a, b: sum(w * units[b].get(t, 0) for t, w in units[a].items())
+    got = by_id(toxicity.score(docs, index))
+    for i in range(len(texts)):
+        wanted = sorted((c for c in (cosine(i, j) for j in range(40)) if c > 1e-9), reverse=True)[: toxicity.NEIGHBOURS]
+        assert np.allclose([e["cosine"] for e in got[i]["evidence"]], wanted)
+        assert all(np.isclose(e["cosine"], cosine(i, e["id"])) for e in got[i]["evidence"])
+    assert 0 < got[40]["evidence"][0]["cosine"] < 0.2
+    assert sorted(r["doc_id"] for r in toxicity.keep(docs, index).collect()) == [i for i in sorted(got) if got[i]["score"] < 0.5]
+
+
 def test_language_on_held_out_texts(spark, odd, none):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     scorer = language_id.train(docs, crc_bucket(F.col("doc_id"), 3) != 1, most=120)
