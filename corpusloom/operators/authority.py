@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,21 +109,26 @@ def greedy_spans(spans: DataFrame) -> DataFrame:
     """(group, span_id, chosen): per group the longest spans first, then the surest; one that overlaps a chosen one is left.
 
     Equal spans of equal identity may stand beside each other. spans: group, span_id, start, end, confidence, identity.
-    A span goes by what was chosen before it, so a group is one task: a group is one word's spans.
+    A span goes by what was chosen before it, so a group is one task: a group is one word's spans. Groups come sorted and pass
+    through in batches.
     """
 
-    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(less=rows["start"] - rows["end"], doubt=-rows["confidence"]).sort_values(["less", "doubt", "identity", "span_id"])
-        kept: list[tuple[int, int, str]] = []
-        chosen = []
-        for start, end, identity in zip(rows["start"], rows["end"], rows["identity"], strict=True):
-            fits = all((start, end, identity) == other or end <= other[0] or other[1] <= start for other in kept)
-            chosen.append(fits)
-            if fits:
-                kept.append((start, end, identity))
-        return pd.DataFrame({"group": rows["group"], "span_id": rows["span_id"], "chosen": chosen})
-
-    return spans.groupBy("group").applyInPandas(choose, "group string, span_id bigint, chosen boolean")
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = object(), []
+        for batch in batches:
+            chosen = []
+            for group, start, end, identity in zip(*[batch.column(c).to_pylist() for c in ("group", "start", "end", "identity")], strict=True):
+                if group != last:
+                    last, kept = group, []
+                fits = all((start, end, identity) == other or end <= other[0] or other[1] <= start for other in kept)
+                chosen.append(fits)
+                if fits:
+                    kept.append((start, end, identity))
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("span_id"), pa.array(chosen, pa.bool_())], names=["group", "span_id", "chosen"])
+
+    rows = spans.select(F.col("group").cast("string").alias("group"), F.col("span_id").cast("long").alias("span_id"), "start", "end", "confidence", "identity")
+    order = ["group", F.expr("start - end"), F.desc_nulls_last("confidence"), F.asc_nulls_last("identity"), "span_id"]
+    return rows.repartition("group").sortWithinPartitions(*order).mapInArrow(choose, "group string, span_id bigint, chosen boolean")
 
 
 def pieces_of(word: Column) -> Column:

@@ -92,14 +92,15 @@ def unique_alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def span_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of word parts of each document's first words; a group is one word of one document."""
+    """Spans of the parts of each document's words; a group is one word of one document. Each word is decided once."""
     from ..functions.text import words
 
-    word = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.slice(words(F.coalesce("text", F.lit(""))), 1, 2))).alias("w")).where("length(w) between 4 and 12")
-    parts = word.select(F.concat_ws(":", "doc_id", "w").alias("group"), "w", F.posexplode(A.pieces_of(F.col("w"))).alias("n", "part"))
-    spans = parts.select("group", F.col("n").cast("long").alias("span_id"), (F.position(F.col("part"), F.col("w")) - 1).alias("start"), "part").where("length(part) >= 3")
-    spans = spans.select("group", "span_id", "start", (F.col("start") + F.length("part")).alias("end"), (F.pmod(F.xxhash64("part"), F.lit(100)) / 100).alias("confidence"), F.col("part").alias("identity")).where("end - start < 6")
-    return A.greedy_spans(spans)
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(words(F.coalesce("text", F.lit(""))))).alias("w")).distinct()
+    parts = found.select("w").distinct().select("w", F.posexplode(A.pieces_of(F.col("w"))).alias("n", "part"))
+    spans = parts.select(F.col("w").alias("group"), F.col("n").cast("long").alias("span_id"), (F.position(F.col("part"), F.col("w")) - 1).alias("start"), "part")
+    spans = spans.select("group", "span_id", "start", (F.col("start") + F.length("part")).alias("end"), (F.pmod(F.xxhash64("part"), F.lit(100)) / 100).alias("confidence"), F.col("part").alias("identity"))
+    chosen = A.greedy_spans(spans).withColumnRenamed("group", "w")
+    return found.join(chosen, "w").select(F.concat_ws(":", "doc_id", "w").alias("group"), "span_id", "chosen")
 
 
 @query("""

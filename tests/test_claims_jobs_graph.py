@@ -41,6 +41,28 @@ def test_greedy_spans(spark):
     assert rows(A.greedy_spans(spans), "span_id", "chosen") == [(1, True), (2, False), (3, True), (4, True)]
 
 
+def test_span_greedy_sees_every_word(spark, tmp_path):
+    from corpusloom.plans.claims import span_greedy
+
+    texts = [(1, "One two banana, extraordinarily a; banana"), (2, "banana"), (3, ""), (4, None)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    confidence = lambda parts: {r["p"]: r["c"] for r in spark.createDataFrame([(p,) for p in parts], "p string").select("p", (F.pmod(F.xxhash64("p"), F.lit(100)) / 100).alias("c")).collect()}
+
+    def greedy(word):
+        n = len(word)
+        parts = [word[:k] for k in range(1, min(8, n) + 1)] + [word[n - k :] for k in range(1, min(8, n) + 1)] + [word[i : i + k] for k in range(3, min(8, n) + 1) for i in range(n - k + 1)]
+        parts, kept, out = list(dict.fromkeys(parts)), [], {}
+        sure = confidence(parts)
+        for p, i in sorted(((p, i) for i, p in enumerate(parts)), key=lambda x: (-len(x[0]), -sure[x[0]], x[0], x[1])):
+            span = (word.index(p), word.index(p) + len(p))
+            out[i] = all(span[1] <= a or b <= span[0] for a, b in kept)
+            kept += [span] if out[i] else []
+        return out
+
+    wanted = [(f"{d}:{w}", i, c) for d, ws in ((1, ["one", "two", "banana", "extraordinarily", "a"]), (2, ["banana"])) for w in ws for i, c in greedy(w).items()]
+    assert rows(span_greedy(spark, str(tmp_path)), "group", "span_id", "chosen") == sorted(wanted)
+
+
 JOBS = "job_id string, job_type string, subject_key string, status string, attempts int, max_attempts int, priority int, created_at int"
 
 
