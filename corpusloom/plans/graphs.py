@@ -50,6 +50,30 @@ def recursive_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.closure(edges, start)
 
 
+@query()
+def bfs_depth_k_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bfs_depth_k over every line item."""
+    items = table(spark, sf_dir, "lineitem")
+    edges = items.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
+    return G.neighbourhood(edges, spark.createDataFrame([("s1",)], "id string"), 3)
+
+
+@query()
+def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of customers and orders over every order; neither end is folded."""
+    edges = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst")).distinct()
+    return G.components(edges, edges.select(F.explode(F.array("src", "dst")).alias("id")))
+
+
+@query()
+def recursive_lineage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recursive_lineage from the last turn of every conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    node = F.col("conv_id") * 1000 + F.col("turn")
+    edges = turns.where("turn > 0").select(node.alias("src"), (node - 1).alias("dst"))
+    return G.closure(edges, turns.groupBy("conv_id").agg(F.max("turn").alias("turn")).select(node.alias("id")))
+
+
 @query("""
     SELECT l_partkey AS src, l_suppkey AS dst, l_returnflag AS relation, l_linestatus AS status, max(l_discount) AS confidence, bool_or(l_tax > 0.04) AS materialized,
            string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS bases, count(*) AS records

@@ -104,3 +104,25 @@ def test_relational(spark):
     got = dict(rows(R.as_of(facts, df.select("k", "t", "v"), ["k"], "at", "t"), "at", "t"))
     assert got == {5: 2, 0: None}
     assert spark.range(1).select(R.overlaps(F.lit(0), F.lit(2), F.lit(2), F.lit(3))).first()[0] is False
+
+
+def test_whole_graphs_see_every_row(spark, tmp_path):
+    from corpusloom.plans import graphs
+
+    put = lambda name, data, kind: spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    items = [(1, 1, 5.0), (1, 2, 1.0), (2, 2, 7.0), (2, 3, 1.0), (3, 3, 2.0), (9, 9, 1.0)]
+    put("lineitem", items, "l_partkey bigint, l_suppkey bigint, l_quantity double")
+    orders = [(1, 1), (2, 1), (23, 2), (1501, 3)]
+    put("orders", orders, "o_orderkey bigint, o_custkey bigint")
+    turns = [(c, t) for c in (1, 2, 3) for t in range(c + 1)]
+    put("conversations", turns, "conv_id bigint, turn bigint")
+    depth, near = {"s1": 0}, [(f"p{p}", f"s{s}") for p, s, _ in items]
+    for step in (1, 2, 3):
+        known = set(depth)
+        for a, b in near + [(b, a) for a, b in near]:
+            if a in known:
+                depth.setdefault(b, step)
+    assert dict(rows(graphs.bfs_depth_k_whole(spark, str(tmp_path)), "id", "depth")) == depth
+    wanted = {n: f"c{c}" for o, c in orders for n in (f"c{c}", f"o{o}")}
+    assert dict(rows(graphs.components_whole(spark, str(tmp_path)), "id", "component")) == wanted
+    assert rows(graphs.recursive_lineage_whole(spark, str(tmp_path)), "id") == sorted((c * 1000 + t,) for c, t in turns)
