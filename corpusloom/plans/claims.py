@@ -60,6 +60,15 @@ def owner_scope_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.replace_scope(current, desired, "a")
 
 
+@query()
+def owner_scope_replace_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a current claim, by its status; owner a now wants those not open and not of low priority."""
+    orders = table(spark, sf_dir, "orders")
+    current = orders.select(F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("owner"), F.col("o_orderkey").alias("assertion_id"), F.lit("accepted").alias("status"))
+    desired = orders.where("o_orderstatus <> 'O' and o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("assertion_id"))
+    return A.replace_scope(current, desired, "a")
+
+
 @query("""
     WITH i AS (SELECT o_custkey AS slot, CASE WHEN o_orderstatus = 'F' THEN 'book' ELSE 'model' END AS basis, o_orderpriority AS target FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1),
     p AS (SELECT o_orderkey AS proposal_id, o_custkey AS slot, CASE WHEN o_totalprice > 150000 THEN 'exclusive' ELSE 'set-member' END AS mode,
