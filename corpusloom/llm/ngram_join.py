@@ -2,12 +2,14 @@
 
 1. A sketch of fixed size counts every distinct shingle of every text; its counts order all shingles, rare before frequent.
    Any order gives the same links, a good one gives few candidates.
-2. Each text becomes its size, the fingerprint of its shingle set, and its prefix: as many of its first shingles as any
-   partner must share one of. Equal sets are one class; classes of equal prefix and size are one group.
+2. Each text becomes its size, the fingerprint of its shingle set, its prefix (as many of its first shingles as any partner
+   must share one of) and a parity map of all its shingles. Equal sets are one class; classes of equal prefix and size are
+   one group.
 3. Groups that share a prefix shingle meet in that shingle's bucket; groups expand to their classes there. Buckets of few
    classes give all their pairs. In large ones every class first meets the bucket's leader, then some probes, and in the end
    every class of another component, so that pairs already connected are never listed and none is missed.
-4. Pairs are verified on the shingle sets of whole texts; links become components by alternating stars.
+4. The parity maps of a pair differ in no more places than its sets do, which rules out nearly all false pairs before any
+   text travels; the others are verified on the shingle sets of whole texts. Links become components by alternating stars.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import quoted, stage
 
 #: Classes of a bucket that all meet, probes of a larger one in a round, rounds of probes, spokes verified beside one hub.
-ALL_PAIRS, PROBES, PROBE_ROUNDS, CHUNK = 12, 6, 2, 48
-PART = 1 << 16
+ALL_PAIRS, PROBES, PROBE_ROUNDS, CHUNK = 12, 6, 1, 48
+#: Cells of a table that travel together, links that one union-find takes at a time.
+PART, LINKS = 1 << 16, 1 << 18
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -61,74 +63,88 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(quoted(id_col).cast("bigint").alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
-#: Parts of a table of counts: how two are put together, and of what type they are.
-ADD, EITHER = (np.add, np.uint32), (np.maximum, np.uint8)
 _PARTS = "part int, data binary"
 
 
-def _in_parts(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sent(part: int, cells: np.ndarray) -> pa.RecordBatch:
     import zstandard
 
-    for part in range(len(table) // PART):
-        piece = table[part * PART : (part + 1) * PART]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(cells.tobytes(), 1)], pa.binary())], names=["part", "data"])
+
+
+def _in_parts(table: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    for part in range(len(table) // size):
+        piece = table[part * size : (part + 1) * size]
         if piece.any():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(piece.tobytes(), 1)], pa.binary())], names=["part", "data"])
+            yield _sent(part, piece)
 
 
-def _together(sent: DataFrame, bits: int, how: tuple) -> np.ndarray:
-    """The tables that tasks sent in parts, as one of 2**bits bytes; over two exchanges, so that no task reads more than a share.
+def _together(sent: DataFrame, cells: int, size: int, combine, finish) -> bytes:
+    """The tables of bytes that tasks sent in parts, as one; over two exchanges, so that no task reads more than a share.
 
-    Counts come back as levels: eight times their binary logarithm.
+    combine puts two parts together, in uint32; finish makes a part's final bytes.
     """
-    combine, kind = how
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
 
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.frombuffer(zstandard.decompress(data.as_py()), dtype=kind)
-                sums[part] = combine(sums[part], found) if part in sums else found
-        for part, table in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(table.tobytes(), 1)], pa.binary())], names=["part", "data"])
+    def add(finished: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import zstandard
 
-    def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    raw = zstandard.decompress(data.as_py())
+                    found = np.frombuffer(raw, dtype=np.uint8 if len(raw) == size else np.uint32).astype(np.uint32)
+                    sums[part] = combine(sums[part], found) if part in sums else found
+            for part, table in sums.items():
+                yield _sent(part, finish(table) if finished else table)
 
-        for batch in add(batches):
-            counts = np.frombuffer(zstandard.decompress(batch.column(1)[0].as_py()), dtype=kind).astype(np.float64)
-            level = np.minimum(255, np.round(8 * np.log2(counts + 1))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress(level.tobytes(), 1)], pa.binary())], names=["part", "data"])
+        return run
 
     import zstandard
 
     salted = sent.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-    once = salted.repartition(F.col("part"), F.col("salt")).select("part", "data").mapInArrow(add, _PARTS)
-    out = np.zeros(1 << bits, dtype=np.uint8)
-    for row in once.repartition(F.col("part")).mapInArrow(levelled if how is ADD else add, _PARTS).collect():
-        out[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(zstandard.decompress(bytes(row["data"])), dtype=np.uint8)
-    return out
+    once = salted.repartition(F.col("part"), F.col("salt")).select("part", "data").mapInArrow(add(False), _PARTS)
+    out = None
+    for row in once.repartition(F.col("part")).mapInArrow(add(True), _PARTS).collect():
+        piece = zstandard.decompress(bytes(row["data"]))
+        if out is None:
+            out = bytearray(cells // size * len(piece))
+        out[row["part"] * len(piece) : (row["part"] + 1) * len(piece)] = piece
+    return bytes(out) if out is not None else b""
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Binary logarithms of counts up to 2**15, two to a byte."""
+    level = np.minimum(15, np.log2(np.maximum(counts, 1))).astype(np.uint8)
+    return level[0::2] << 4 | level[1::2]
 
 
 def frequency_levels(texts: DataFrame, n: int, bits: int) -> bytes:
-    """One byte for each of 2**bits hash ranges: the logarithm of how many distinct shingles of all texts fall there."""
+    """Four bits for each of 2**bits hash ranges: the logarithm of how many distinct shingles of all texts fall there.
+
+    A task counts to 255 in a cell, which is far beyond rare; tasks are summed without a limit.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.uint32)
+        counts = np.zeros(1 << bits, dtype=np.uint8)
+
+        def put(cells: list[np.ndarray]) -> None:
+            at, times = np.unique(np.concatenate(cells), return_counts=True)
+            counts[at] = np.minimum(255, counts[at] + times)
+
+        own, held = [], 0
         for batch in batches:
-            own, held = [], 0
             for x in batch.column(0):
                 own.append((shingles(x.as_py(), n) >> np.uint64(64 - bits)).astype(np.int64))
                 held += len(own[-1])
                 if held > 1 << 20:
-                    np.add.at(counts, np.concatenate(own), 1)
+                    put(own)
                     own, held = [], 0
-            if own:
-                np.add.at(counts, np.concatenate(own), 1)
-        yield from _in_parts(counts)
+        if own:
+            put(own)
+        yield from _in_parts(counts, PART)
 
-    return _together(texts.select("text").mapInArrow(count, _PARTS), bits, ADD).tobytes()
+    return _together(texts.select("text").mapInArrow(count, _PARTS), 1 << bits, PART, np.add, _level)
 
 
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -138,60 +154,80 @@ def _places(keys: np.ndarray, bits: int) -> np.ndarray:
 class Sieve:
     """A bitmap of 2**bits hash places in which every key of a column has its place: what it lacks is surely no key.
 
-    Its size doesn't grow with the keys; the more they are, the more others pass too. It only spares shuffles.
+    Sixteen places a key, up to 2**26 in all (8 MB); beyond that the more keys, the more others pass too. It only spares shuffles.
     """
 
-    def __init__(self, keys: DataFrame, bits: int):
+    def __init__(self, keys: DataFrame):
+        self.bits = bits = min(26, max(19, math.ceil(math.log2(max(1, keys.count()))) + 4))
+        size = PART // 8
+
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = np.zeros(1 << bits, dtype=np.uint8)
             for batch in batches:
                 table[_places(batch.column(0).to_numpy(), bits)] = 1
-            yield from _in_parts(table)
+            yield from _in_parts(np.packbits(table), size)
 
-        self.bits = bits
-        found = np.packbits(_together(keys.mapInArrow(mark, _PARTS), bits, EITHER))
-        self.shared = keys.sparkSession.sparkContext.broadcast(found.tobytes())
+        found = _together(keys.mapInArrow(mark, _PARTS), 1 << (bits - 3), size, np.bitwise_or, lambda t: t.astype(np.uint8))
+        self.shared = keys.sparkSession.sparkContext.broadcast(found or bytes(1 << (bits - 3)))
 
     def passes(self, keys: np.ndarray) -> np.ndarray:
         place = _places(keys, self.bits)
         return (np.frombuffer(self.shared.value, dtype=np.uint8)[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def parity_map(values: np.ndarray) -> bytes:
+    """A bit for each residue of a set's hashes, set where an odd number of them falls; as many bits as the next power of two."""
+    bits = 1 << max(6, (len(values) - 1).bit_length())
+    return np.packbits((np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Two sets differ in so many members at least. The longer map is folded: halves of a residue's map add up by parity."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, width = int.from_bytes(a), 8 * len(a)
+    while width > 8 * len(b):
+        width //= 2
+        x = x >> width ^ x & (1 << width) - 1
+    return (x ^ int.from_bytes(b)).bit_count()
+
+
 def prefixes(texts: DataFrame, n: int, percent: int, levels: bytes, bits: int) -> DataFrame:
-    """(doc_id, size, f1, f2, g1, g2, prefix): set size, fingerprints of the set and of prefix with size, and the prefix."""
-    shared = texts.sparkSession.sparkContext.broadcast(levels)  # 2**bits bytes, whatever the corpus
+    """(doc_id, size, f1, f2, g1, g2, prefix, parity): set size, fingerprints of the set and of prefix with size, and more."""
+    shared = texts.sparkSession.sparkContext.broadcast(levels)  # 2**(bits - 1) bytes at most, whatever the corpus
+    names = ["doc_id", "size", "f1", "f2", "g1", "g2", "prefix", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(shared.value, dtype=np.uint8)
         mark = lambda size, values: np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16, salt=size.to_bytes(8, "little")).digest(), dtype=np.int64)
         for batch in batches:
-            sizes, marks, own = [], [], []
+            sizes, marks, own, maps = [], [], [], []
             for x in batch.column(1):
                 values = shingles(x.as_py(), n)
                 size = len(values)
-                rank = level[(values >> np.uint64(64 - bits)).astype(np.int64)]
+                cell = (values >> np.uint64(64 - bits)).astype(np.int64)
+                rank = level[cell >> 1] >> (4 - 4 * (cell & 1)).astype(np.uint8) & 15 if size else cell
                 first = values[np.argsort(rank, kind="stable")[: size + 1 - -(-percent * size // 100)]] if size else values
                 sizes.append(size)
                 marks.append(np.concatenate([mark(size, values), mark(size, first)]))
                 own.append(first.view(np.int64))
+                maps.append(parity_map(values))
             marks = np.stack(marks) if marks else np.zeros((0, 4), dtype=np.int64)
             ends = np.concatenate([[0], np.cumsum([len(p) for p in own])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(marks[:, i].copy()) for i in range(4)), prefix], names=["doc_id", "size", "f1", "f2", "g1", "g2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(marks[:, i].copy()) for i in range(4)), prefix, pa.array(maps, pa.binary())], names=names)
 
-    return texts.mapInArrow(run, "doc_id bigint, size bigint, f1 bigint, f2 bigint, g1 bigint, g2 bigint, prefix array<bigint>")
+    return texts.mapInArrow(run, "doc_id bigint, size bigint, f1 bigint, f2 bigint, g1 bigint, g2 bigint, prefix array<bigint>, parity binary")
 
 
-def buckets(marked: DataFrame, bits: int) -> DataFrame:
+def buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(bucket, cls, size, at): classes that may have partners, in the buckets where they meet them.
 
     A bucket is a prefix shingle that stands in several groups, or a group of several classes. at is the shingle's place.
     """
-    rows = marked.where("size > 0 and doc_id is not null")
-    classes = rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("cls"), F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.first("size").alias("size"))
     groups = stage(rows.groupBy("g1", "g2").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")), "groups")
     shared = stage(groups.select(F.explode("prefix").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "shared")
-    sieve = Sieve(shared, bits)
+    sieve = Sieve(shared)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,18 +247,6 @@ def buckets(marked: DataFrame, bits: int) -> DataFrame:
     return expanded.unionByName(within)
 
 
-def texts_of(texts: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
-    """(cls, text) of the wanted ids. A text is a quarter of its hashes' size. An id of several texts has several rows."""
-    sieve = Sieve(wanted.select("cls"), bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(sieve.passes(batch.column(0).to_numpy())))
-
-    found = texts.where("doc_id is not null").select(F.col("doc_id").alias("cls"), "text").mapInArrow(run, "cls bigint, text binary")
-    return found.join(wanted, "cls", "left_semi").dropDuplicates(["cls", "text"])
-
-
 def may_link(percent: int):
     """What sizes and the places of the shared shingle allow: overlap needed, and overlap that is left at most."""
     a, b = F.col("a_size"), F.col("b_size")
@@ -231,42 +255,86 @@ def may_link(percent: int):
     return (F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)) & (left >= needed)
 
 
-def linked(pairs: DataFrame, held: DataFrame, n: int, percent: int) -> DataFrame:
-    """(hub, spoke) of the given pairs whose shingle sets are similar enough; held: texts_of()'s rows.
+def possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The (hub, spoke) that sizes and parity maps leave possible; maps: (cls, size, parity), each class once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
+            keep = [(a + b - least_difference(x, y)) * (100 + percent) >= 2 * percent * (a + b) for a, x, b, y in rows]
+            yield batch.select(["hub", "spoke"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda name: maps.select(F.col("cls").alias(name), F.col("size").alias(f"{name}_size"), F.col("parity").alias(f"{name}_map"))
+    held = pairs.join(of("hub"), "hub").join(of("spoke"), "spoke").select("hub", "spoke", "hub_size", "hub_map", "spoke_size", "spoke_map")
+    return held.mapInArrow(run, "hub bigint, spoke bigint")
+
+
+def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) of the given pairs (hub, spoke), written, whose shingle sets are similar enough. An id of several texts counts with each.
 
     A hub's text goes once to every CHUNK of its spokes.
     """
     chunks = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     dealt = pairs.join(chunks, "hub").select("hub", "spoke", F.pmod(F.xxhash64("spoke"), F.col("chunks")).cast("int").alias("chunk"))
-    text_of = lambda name: held.select(F.col("cls").alias(name), "text")
-    spokes = dealt.join(text_of("spoke"), "spoke").select("hub", "chunk", "spoke", "text")
-    hubs = dealt.select("hub", "chunk").distinct().join(text_of("hub"), "hub").select("hub", "chunk", "text").toDF("hub_", "chunk_", "text_")
+    hubs = dealt.select("hub", "chunk").distinct().select(F.col("hub").alias("cls"), "hub", "chunk", F.lit(True).alias("is_hub"))
+    needed = stage(dealt.select(F.col("spoke").alias("cls"), "hub", "chunk", F.lit(False).alias("is_hub")).unionByName(hubs), "needed")
+    sieve = Sieve(needed.select("cls").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sieve.passes(batch.column(0).to_numpy())))
+
+    found = texts.where("doc_id is not null").select(F.col("doc_id").alias("cls"), "text").mapInArrow(run, "cls bigint, text binary").dropDuplicates(["cls", "text"])
 
-    def verify(key: tuple, many: pa.Table, one: pa.Table) -> pa.Table:
+    def verify(key: tuple, rows: pa.Table) -> pa.Table:
+        is_hub = rows.column("is_hub").to_numpy(zero_copy_only=False)
+        hub = [shingles(rows.column("text")[i].as_py(), n) for i in np.flatnonzero(is_hub).tolist()]
         found: list[int] = []
-        if one.num_rows and many.num_rows:
-            hub = [shingles(x.as_py(), n) for x in one.column("text_")]
-            for spoke, text in zip(many.column("spoke").to_pylist(), many.column("text"), strict=True):
-                other = shingles(text.as_py(), n)
-                for mine in hub:
-                    if 100 * min(len(mine), len(other)) >= percent * max(len(mine), len(other)):
-                        both = len(np.intersect1d(mine, other, assume_unique=True))
-                        if 100 * both >= percent * (len(mine) + len(other) - both):
-                            found.append(spoke)
-                            break
-        return pa.table({"hub": pa.array([key[0].as_py()] * len(found), pa.int64()), "spoke": pa.array(found, pa.int64())})
+        for i in np.flatnonzero(~is_hub).tolist():
+            other = shingles(rows.column("text")[i].as_py(), n)
+            for mine in hub:
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                if 100 * both >= percent * (len(mine) + len(other) - both):
+                    found.append(rows.column("cls")[i].as_py())
+                    break
+        return pa.table({"a": pa.array([key[0].as_py()] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+
+    return found.join(needed, "cls").groupBy("hub", "chunk").applyInArrow(verify, "a bigint, b bigint")
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task's links connect, as links to the least of each component; at most LINKS links are held at a time."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up] = parent.setdefault(up, up)
+        return x
 
-    return spokes.groupBy("hub", "chunk").cogroup(hubs.groupBy("hub_", "chunk_")).applyInArrow(verify, "hub bigint, spoke bigint")
+    def stars() -> pa.RecordBatch:
+        nodes = [x for x in parent if root(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        if len(parent) > LINKS:
+            yield stars()
+            parent.clear()
+    yield stars()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(cls, component): the smallest class that links reach, for every class in links (columns a and b).
 
-    Alternating large and small stars; every round is written, and a round that changes nothing is the last.
+    Tasks contract their own links first; then alternating large and small stars. Every round is written, and a round that
+    changes nothing is the last.
     """
-    edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    for _ in numbers():
+    edges = stage(links.select("a", "b").mapInArrow(_contracted, "a bigint, b bigint").toDF("u", "v").distinct(), "edges")
+    state = lambda: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now, before = state(), None
+    while now != before:
         # large: every neighbour above u goes to the least of u's neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
@@ -276,26 +344,26 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(least.select("u", F.col("least").alias("v")))
         edges = stage(small.distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        now, before = state(), now
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("component"))
 
 
-def _connected(met: DataFrame, texts: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
-    """components()'s rows for all links. met: buckets()' rows, written. Only classes that meet a partner are read again."""
+def _connected(met: DataFrame, maps: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """components()'s rows for all links. met: buckets()' rows, written. Only classes that may have a partner are read again."""
     count = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("leader"))
-    few = met.join(count.where(F.col("n") <= ALL_PAIRS).select("bucket"), "bucket")
+    counted = met.join(count, "bucket")
     side = lambda df, s, *more: df.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in ("cls", "size", "at", *more)])
     pair = lambda df: df.where(may_link(percent)).select(F.col("a_cls").alias("hub"), F.col("b_cls").alias("spoke"))
-    found = lambda pairs: stage(linked(pairs, held, n, percent).toDF("a", "b"), "links")
+
+    def found(pairs: DataFrame) -> DataFrame:
+        left = stage(possible(pairs, maps, percent), "possible")
+        return left.toDF("a", "b") if left.isEmpty() else stage(linked(left, texts, n, percent), "links")
+
+    few = stage(counted.where(F.col("n") <= ALL_PAIRS), "few")
     close = side(few, "a").join(side(few, "b"), "bucket").where(F.col("a_cls") < F.col("b_cls"))
-    large = stage(met.join(count.where(F.col("n") > ALL_PAIRS), "bucket"), "large-buckets")
+    large = stage(counted.where(F.col("n") > ALL_PAIRS), "large-buckets")
     star = side(large.where("cls <> leader"), "b").join(side(large.where("cls = leader"), "a"), "bucket")
     tried = stage(pair(close).unionByName(pair(star)).distinct(), "pairs")
-    wanted = tried.select(F.col("hub").alias("cls")).unionByName(tried.select(F.col("spoke").alias("cls"))).unionByName(large.select("cls")).distinct()
-    held = stage(texts_of(texts, stage(wanted, "wanted"), bits), "texts")
     named = components(found(tried))
     for step in range(PROBE_ROUNDS + 1):
         # buckets of one component hold no pair that could still matter
@@ -307,8 +375,8 @@ def _connected(met: DataFrame, texts: DataFrame, n: int, percent: int, bits: int
         last = step == PROBE_ROUNDS
         probes = large if last else large.where(F.pmod(F.xxhash64("cls", F.lit(step)), F.col("n")) < PROBES)
         meet = side(large, "b", "component").join(side(probes, "a", "component"), "bucket").where("a_component <> b_component")
-        meet = pair(meet.where("a_cls < b_cls") if last else meet).distinct().join(tried, ["hub", "spoke"], "left_anti")
-        fresh = stage(meet.join(tried.select(F.col("hub").alias("spoke"), F.col("spoke").alias("hub")), ["hub", "spoke"], "left_anti"), "pairs")
+        meet = pair(meet.where("a_cls < b_cls") if last else meet).select(F.least("hub", "spoke").alias("hub"), F.greatest("hub", "spoke").alias("spoke")).distinct()
+        fresh = stage(meet.join(tried.select(F.least("hub", "spoke").alias("hub"), F.greatest("hub", "spoke").alias("spoke")), ["hub", "spoke"], "left_anti"), "pairs")
         tried = tried.unionByName(fresh)
         new = found(fresh)
         if not new.isEmpty():
@@ -325,12 +393,15 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     columns take no part; an empty table gives no rows. Hashes of 64 bits stand for shingles, of 128 for sets.
     """
     texts = _texts(docs, id_col, text_col)
-    bits = bits or min(26, max(20, math.ceil(math.log2(max(1, docs.count()))) + 2))
+    if bits is None:  # about a cell a shingle, from 2**16 to 2**26 of them (32 MB)
+        letters = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(26, max(16, math.ceil(math.log2(1 + letters / 6))))
     marked = stage(prefixes(texts, n, percent, frequency_levels(texts, n, bits), bits), "prefixes")
-    met = stage(buckets(marked, min(26, bits + 4)), "buckets")
-    named = _connected(met, texts, n, percent, bits)
-    classes = marked.where("size > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("cls"))
-    classes = classes.join(named, "cls", "left").select("f1", "f2", F.coalesce("component", "cls").alias("component"))
-    rows = marked.select("doc_id", "size", "f1", "f2")
-    out = rows.join(classes, ["f1", "f2"], "left")
+    rows = marked.where("size > 0 and doc_id is not null")
+    classes = stage(rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("cls"), *[F.first(c).alias(c) for c in ("g1", "g2", "size", "parity")]), "classes")
+    met = stage(buckets(rows, classes), "buckets")
+    maps = classes.select("cls", "size", "parity")
+    named = _connected(met, maps, texts, n, percent)
+    named = classes.join(named, "cls", "left").select("f1", "f2", F.coalesce("component", "cls").alias("component"))
+    out = marked.select("doc_id", "size", "f1", "f2").join(named, ["f1", "f2"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
