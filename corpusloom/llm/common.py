@@ -48,6 +48,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fitted(sample: DataFrame, fit):
+    """What fit makes of the whole sample, a table of bounded size, on one executor: plain containers and numpy arrays.
+
+    The driver gets the result alone, never the sample.
+    """
+    import pickle
+
+    import pyarrow as pa
+
+    kinds = sample.limit(0).toArrow().schema
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(list(batches), kinds)))], pa.binary())], names=["model"])
+
+    found = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(pa.Table.from_batches([], kinds))
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python process, for models and vocabularies loaded once."""
     return sys.modules.setdefault("_corpusloom_worker", types.ModuleType("_corpusloom_worker")).__dict__

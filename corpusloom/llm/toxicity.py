@@ -1,13 +1,13 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The index holds a bounded sample of labelled texts with all their terms. Its postings are laid out in blocks of examples,
-each with the largest weight a term has there; a query bounds every block from its own terms, visits blocks from the best
-bound down, and stops when no bound left can reach the k-th neighbour. Neighbours vote by 1 / (distance + EASE); votes of
-the examples themselves, each without itself, calibrate them to scores.
-
-Every text is normed over all its terms, and document frequencies count all documents. Terms of the examples are in the
-index; what else a text holds changes no order of its neighbours, only its norm, so those terms are joined to the written
-table of all frequencies, which is sent nowhere whole. There terms are compared as 64-bit hashes.
+The index holds a bounded sample of labelled texts. Its postings are laid out in blocks of examples, each with the largest
+weight a term has there; a query bounds every block from its own terms, visits blocks from the best bound down, and stops
+when no bound left can reach the k-th neighbour. Neighbours vote by 1 / (distance + EASE); votes of the examples
+themselves, each without itself, calibrate them to scores.
+
+Every text and every example is normed over all its terms. Only terms that tell the labels apart by a test of significance,
+as many as pass it, add to a product: over all terms chance words outweigh the telling ones (README has figures). Document
+frequencies of all terms of the examples count all documents; a term that no example has counts as one of none.
 """
 
 from __future__ import annotations
@@ -15,30 +15,26 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, stage
+from .common import fitted, keep_rows, quoted, stage
 
 BLOCK, NEIGHBOURS, EASE = 64, 15, 0.05
+#: Chance that any term at all without bearing on the label passes as telling.
+CHANCE = 0.05
 #: ASCII that is neither letter nor digit parts terms; letters fall to lower case. Other bytes stand as they are.
 _PARTS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-#: Distinct terms a task counts before it sends them on.
-_FLUSH = 300_000
 
 
 def terms(text: bytes) -> list[bytes]:
     return text.lower().translate(_PARTS).split()
 
 
-def hashed(term: bytes) -> int:
-    return int.from_bytes(blake2b(term, digest_size=8).digest(), "little", signed=True)
-
-
 def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all ranges, one range after the other, and which range each is of."""
     n = ends - starts
@@ -72,44 +68,39 @@ class Postings:
 
 @dataclass
 class Index:
-    """vocabulary: term of an example to row; idf by row; weights: unit columns of examples; labels, ids and masses of
-    examples; frequencies: (term, df) of every term of the documents, by hash, n_documents their number."""
+    """vocabulary: term of an example to its number; idf by number, and at the end that of all other terms; row: of a term's
+    postings, -1 where it is not telling; weights: the postings; labels, ids and masses of examples; prior: share of label 1
+    among all labelled rows; knots, levels: the calibration."""
 
     vocabulary: dict[bytes, int]
     idf: np.ndarray
+    row: np.ndarray
     weights: Postings
     labels: np.ndarray
     ids: list
     masses: np.ndarray
     prior: float
-    steps: tuple[np.ndarray, np.ndarray] | None = None
-    frequencies: DataFrame | None = None
-    n_documents: int = 0
-
-    def __getstate__(self):
-        return {**self.__dict__, "frequencies": None}
-
-    def parts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, int]]]:
-        """Rows of a text's terms and their TF-IDF weights; the terms no example has, and how often each stands there."""
-        rows, times, outside = [], [], []
-        for term, n in Counter(words).items():
-            if (row := self.vocabulary.get(term)) is None:
-                outside.append((term, n))
-            else:
-                rows.append(row)
-                times.append(n)
-        at = np.array(rows, dtype=np.int64)
-        return at, (1 + np.log(np.array(times, dtype=np.float64))) * self.idf[at], outside
+    knots: np.ndarray
+    levels: np.ndarray
+
+    def state(self) -> dict:
+        """All of it in plain containers, as it travels to executors, which have no copy of this package."""
+        return {**self.__dict__, "weights": self.weights.__dict__}
+
+    @classmethod
+    def of(cls, state: dict) -> Index:
+        weights = Postings.__new__(Postings)
+        weights.__dict__.update(state["weights"])
+        return cls(**{**state, "weights": weights})
 
     def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of a text's terms and their TF-IDF weights, normed over all terms of the text; for the driver, as it asks frequencies."""
-        rows, weights, outside = self.parts(words)
-        square = weights @ weights
-        if outside and self.frequencies is not None:
-            times = {hashed(t): n for t, n in outside}
-            df = dict(self.frequencies.where(F.col("term").isin(list(times))).collect())
-            square += sum(((1 + np.log(n)) * (np.log((1 + self.n_documents) / (1 + df.get(t, 0))) + 1)) ** 2 for t, n in times.items())
-        return rows, weights / np.sqrt(square) if square else weights
+        """Rows of a text's telling terms and their TF-IDF weights, normed over all terms of the text."""
+        times = Counter(words)
+        number = np.fromiter((self.vocabulary.get(t, -1) for t in times), np.int64, len(times))
+        weight = (1 + np.log(np.fromiter(times.values(), np.float64, len(times)))) * self.idf[number]
+        row = self.row[number]
+        telling = np.flatnonzero(row >= 0)
+        return row[telling], weight[telling] / max(np.sqrt(weight @ weight), 1e-300)
 
     def nearest(self, rows: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest positive cosine, ties to the earlier example: their numbers and cosines."""
@@ -150,7 +141,7 @@ class Index:
         return float((say @ self.labels[at] + far * self.prior) / (say.sum() + far))
 
     def score(self, votes: np.ndarray) -> np.ndarray:
-        return np.interp(votes, *self.steps) if self.steps else votes
+        return np.interp(votes, self.knots, self.levels) if len(self.knots) else votes
 
 
 def rising(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,136 +158,119 @@ def rising(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.
     return knots, levels
 
 
+def telling(present: np.ndarray, absent: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Whether a term that stands in so many of the n1 examples of label 1, and of the n0 of label 0, passes the test.
+
+    Chi-squared with Yates' correction; its limit allows for the number of terms that are tested.
+    """
+    n, held = n1 + n0, present + absent
+    limit = NormalDist().inv_cdf(1 - CHANCE / max(1, len(held)) / 2) ** 2
+    gap = np.maximum(np.abs(present * (n0 - absent) - absent * (n1 - present)) - n / 2, 0)
+    return gap**2 * n > limit * held * (n - held) * max(1, n1) * max(1, n0)
+
+
 def build(texts: list[bytes], labels: np.ndarray, ids: list, vocabulary: list[bytes], df: np.ndarray, n_documents: int, prior: float) -> Index:
     """vocabulary: all terms of texts; df counts each in all n_documents; prior is the share of label 1 among all labelled rows."""
-    idf = np.log((1 + n_documents) / (1 + df)) + 1
-    masses = np.where(labels == 1, prior / max(1, (labels == 1).sum()), (1 - prior) / max(1, (labels == 0).sum())) * len(labels)
-    index = Index({t: i for i, t in enumerate(vocabulary)}, idf, Postings([], len(vocabulary)), labels.astype(np.float64), ids, masses, prior, n_documents=n_documents)
+    idf = np.log((1 + n_documents) / (1 + np.append(df, 0))) + 1
+    known = {t: i for i, t in enumerate(vocabulary)}
+    n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
+    counts = np.zeros((2, len(vocabulary)))
+    for text, label in zip(texts, labels.tolist(), strict=True):
+        counts[label, [known[t] for t in set(terms(text))]] += 1
+    told = np.flatnonzero(telling(counts[1], counts[0], n1, n0))
+    row = np.full(len(idf), -1)
+    row[told] = np.arange(len(told))
+    masses = np.where(labels == 1, prior / max(1, n1), (1 - prior) / max(1, n0)) * len(labels)
+    index = Index(known, idf, row, Postings([], 0), labels.astype(np.float64), ids, masses, prior, np.zeros(0), np.zeros(0))
     vectors = [index.vector(terms(t)) for t in texts]
-    index.weights = Postings(vectors, len(vocabulary))
+    index.weights = Postings(vectors, len(told))
     votes = np.array([index.vote(*index.nearest(rows, values, but=i)) for i, (rows, values) in enumerate(vectors)])
-    if len(votes) and labels.any() and not labels.all():
-        index.steps = rising(votes, labels.astype(np.float64), masses)
+    if n1 and n0:
+        index.knots, index.levels = rising(votes, labels.astype(np.float64), masses)
     return index
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, most: int = 1500, most_bytes: int = 50_000) -> Index:
-    """Build the index from at most `most` labelled texts of each label, the first by a hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, learn, most: int = 1500, most_bytes: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
+    """Build the index from at most `most` labelled texts of each label, the first by a hash of the id.
 
-    learn is a condition on doc_id that labelled rows must meet; texts over most_bytes serve as no example.
+    learn is a condition on the column doc_id that labelled rows must meet; texts over most_bytes serve as no example. An
+    executor builds the index; labels are named as the columns of docs. Null ids, texts and labels teach nothing.
     """
-    marked = labels.where("toxic in (0, 1)").where(learn).select("doc_id", F.col("toxic").alias("label"))
+    docs = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+    marked = labels.select(quoted(id_col).alias("doc_id"), quoted(label_col).cast("int").alias("label")).where("label in (0, 1)").where(learn)
     n = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     rate = F.lit(0.0)
     for label, count in n.items():
         rate = F.when(F.col("label") == label, F.lit(min(1.0, 1.5 * most / max(1, count)))).otherwise(rate)
     drawn = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text").between(1, most_bytes))
-    found = text.join(F.broadcast(drawn), "doc_id").orderBy("label", F.xxhash64("doc_id"), "doc_id", "text").limit(4 * most).collect()
-    picked = [r for v in (0, 1) for r in [r for r in found if r["label"] == v][:most]]
-    texts, truth = [r["text"].encode() for r in picked], np.array([r["label"] for r in picked], dtype=np.int64)
-    vocabulary = sorted({t for text in texts for t in terms(text)})
-    frequencies, total = document_frequencies(docs), docs.count()
-    index = build(texts, truth, [r["doc_id"] for r in picked], vocabulary, frequencies_of(frequencies, vocabulary), total, n.get(1, 0) / max(1, sum(n.values())))
-    index.frequencies = frequencies
-    return index
-
+    held = docs.where(F.octet_length("text").between(1, most_bytes)).join(F.broadcast(drawn), "doc_id").withColumn("place", F.xxhash64("doc_id"))
+    sample = stage(held.orderBy("label", "place", "doc_id", "text").limit(4 * most), "toxicity-examples")
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df): in how many documents each term stands, by its hash; written, as it grows with the documents."""
+    def examples(rows: pa.Table) -> list[tuple]:
+        rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("label", "place", "doc_id", "text")), strict=True))
+        return [r for v in (0, 1) for r in [r for r in rows if r[0] == v][:most]]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
+    def words(rows: pa.Table) -> list[bytes]:
+        return sorted({t for r in examples(rows) for t in terms(r[3].encode())})
 
-        def sent() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([hashed(t) for t in df], pa.int64()), pa.array(list(df.values()), pa.int64())], names=["term", "df"])
+    vocabulary = fitted(sample, words)
+    df, total = document_frequencies(docs, vocabulary), docs.count()
+    prior = n.get(1, 0) / max(1, sum(n.values()))
 
-        for batch in batches:
-            for x in batch.column(0):
-                df.update(set(terms(x.as_py())))
-                if len(df) > _FLUSH:
-                    yield sent()
-                    df.clear()
-        yield sent()
+    def fit(rows: pa.Table) -> dict:
+        label, _, ids, text = map(list, zip(*examples(rows), strict=True)) if rows.num_rows else ([], [], [], [])
+        return build([t.encode() for t in text], np.array(label, dtype=np.int64), ids, vocabulary, df, total, prior).state()
 
-    text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return stage(text.mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")), "toxicity_frequencies")
+    return Index.of(fitted(sample, fit))
 
 
-def frequencies_of(frequencies: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
-    """The document frequencies of a bounded vocabulary, in its order."""
-    at = np.array([hashed(t) for t in vocabulary], dtype=np.int64)
-    own = frequencies.sparkSession.createDataFrame(pa.table({"term": at}))
-    found = frequencies.join(F.broadcast(own.distinct()), "term").toArrow()
-    df = dict(zip(found["term"].to_pylist(), found["df"].to_pylist(), strict=True))
-    return np.array([df.get(int(h), 0) for h in at], dtype=np.int64)
+def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
+    """In how many documents each term of the vocabulary stands, in its order; the vocabulary is that of a bounded sample."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {t: i for i, t in enumerate(shared.value)}
+        df = np.zeros(len(known), dtype=np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                df[[known[t] for t in set(terms(x.as_py())) if t in known]] += 1
+        there = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(df[there])], names=["number", "df"])
 
-def neighbours(rows: DataFrame, text: str, index: Index, carried: list[str]) -> DataFrame:
-    """The carried columns of rows, with the numbers (at) of each text's nearest examples and their cosines.
+    text = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    found = text.mapInArrow(count, "number bigint, df bigint").groupBy("number").agg(F.sum("df").alias("df")).toArrow()
+    out = np.zeros(len(vocabulary), dtype=np.int64)
+    out[found["number"].to_numpy()] = found["df"].to_numpy()
+    return out
 
-    text is binary. Neighbours are found where the text is; its norm then takes in the terms that no example has.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, cosine, square, outside = [], [], [], []
-            for x in batch.column("__text"):
-                here, weights, others = index.parts(terms(x.as_py()))
-                own = float(weights @ weights)
-                near, near_by = index.nearest(here, weights / np.sqrt(own) if own else weights)
-                at.append(near.astype(np.int32))
-                cosine.append(near_by)
-                square.append(own)
-                outside.append([{"term": hashed(t), "times": n} for t, n in others] if len(near) else [])
-            more = [pa.array(at, pa.list_(pa.int32())), pa.array(cosine, pa.list_(pa.float64())), pa.array(square, pa.float64()), pa.array(outside, pa.list_(pa.struct([("term", pa.int64()), ("times", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*carried, "__row")], *more], names=[*carried, "__row", "__at", "__cosine", "__square", "__outside"])
-
-    numbered = rows.select(*carried, F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
-    found = stage(numbered.mapInArrow(run, f"{kinds}, __row bigint, __at array<int>, __cosine array<double>, __square double, __outside array<struct<term: bigint, times: bigint>>"), "toxicity_neighbours")
-    if index.frequencies is None:
-        return found.select(*carried, F.col("__at").alias("at"), F.col("__cosine").alias("cosine"))
-    idf = F.log(F.lit(1.0 + index.n_documents) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    others = found.select("__row", F.inline("__outside")).join(index.frequencies, "term", "left")
-    others = others.groupBy("__row").agg(F.sum(F.pow((1 + F.log("times")) * idf, F.lit(2))).alias("__more"))
-    shrink = F.sqrt(F.col("__square") / (F.col("__square") + F.coalesce("__more", F.lit(0.0))))
-    whole = F.transform("__cosine", lambda c: F.round(c * F.col("__shrink"), 12))
-    return found.join(others, "__row", "left").withColumn("__shrink", shrink).select(*carried, F.col("__at").alias("at"), whole.alias("cosine"))
+def verdicts(index: Index, texts: list[bytes]) -> tuple[np.ndarray, list]:
+    """The score of each text, and its neighbours with their cosines."""
+    near = [index.nearest(*index.vector(terms(t))) for t in texts]
+    return index.score(np.array([index.vote(*n) for n in near], dtype=np.float64)), near
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, evidence) for every row of docs; evidence holds the neighbours' ids, labels and cosines, nearest first.
 
-    A null, empty or wordless text, or one without a term of any example, has no neighbours and scores as the calibrated
-    prior. Repeated rows each get their row, null ids stay, other columns take no part, an empty table gives no rows.
+    A null, empty or wordless text, or one without a telling term, has no neighbours and scores as the calibrated prior.
+    Repeated rows each get their row, null ids stay, other columns take no part, an empty table gives no rows.
     """
+    rows = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(index.state())
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index.of(shared.value)
         for batch in batches:
-            votes, evidence = np.zeros(batch.num_rows), []
-            for i, (at, cosine) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                votes[i] = index.vote(np.array(at, dtype=np.int64), np.array(cosine, dtype=np.float64))
-                evidence.append([{"id": index.ids[a], "label": int(index.labels[a]), "cosine": c} for a, c in zip(at, cosine, strict=True)])
-            kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index.score(votes)), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+            scores, near = verdicts(index, [x.as_py() for x in batch.column(1)])
+            evidence = [[{"id": index.ids[a], "label": int(index.labels[a]), "cosine": c} for a, c in zip(at.tolist(), cosine.tolist(), strict=True)] for at, cosine in near]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
-    rows = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    found = neighbours(rows, "text", index, ["doc_id"])
-    return found.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<id: bigint, label: int, cosine: double>>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<id: bigint, label: int, cosine: double>>")
 
 
 def keep(docs: DataFrame, index: Index, below: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text scores below the limit."""
-    columns = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*columns)
-    text = F.coalesce(F.col(columns[docs.columns.index(text_col)]).cast("string"), F.lit("")).cast("binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = zip(batch.column("at").to_pylist(), batch.column("cosine").to_pylist(), strict=True)
-            votes = np.array([index.vote(np.array(at, dtype=np.int64), np.array(cosine, dtype=np.float64)) for at, cosine in near], dtype=np.float64)
-            yield batch.select(columns).filter(pa.array(index.score(votes) < below))
-
-    found = neighbours(plain.withColumn("text", text), "text", index, columns)
-    return found.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    """The rows of docs, all columns as they are, whose text scores below the limit. Null texts are empty ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(index.state())
+    return keep_rows(docs, text_col, lambda texts: verdicts(Index.of(shared.value), texts)[0] < below)
