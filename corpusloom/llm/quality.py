@@ -2,7 +2,8 @@
 
 Each line gets a few binned features. The field's Viterbi path marks every line as content or boilerplate, and a text is
 kept if enough of its words stand in content lines. Weights are fitted by gradient ascent on a bounded sample of labelled
-texts, whose lines all carry their text's label.
+texts. Labels say which texts are poor, not which of their lines: in a poor text at least half the words stand in
+boilerplate, its lines are hidden labels, and rounds of fitting and labelling find them. Lines of good texts are content.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, quoted
+from .common import fitted, keep_rows, quoted
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Base rules: least words, words of a window, most of the words that may stand in repeated windows (percent).
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 CONTENT, BOILERPLATE = 0, 1
+#: Decay of the moves. Labels of whole texts overstate how seldom lines change sides, so moves are held small.
+STILL = 0.02
 
 _is = lambda members: np.isin(np.arange(256), np.frombuffer(members, dtype=np.uint8))
 _starts_char = (np.arange(256) & 0xC0) != 0x80
@@ -187,17 +190,20 @@ def content_share(labels: np.ndarray, words: np.ndarray, per_text: np.ndarray) -
     return content / np.maximum(np.bincount(owner, words, len(per_text)), 1)
 
 
-def fit(texts: list[bytes], good: np.ndarray, rounds: int = 120, step: float = 0.5, decay: float = 1e-3) -> Model:
-    """Fit by gradient ascent on the mean log-likelihood, then lean to content until at most 1 in 500 good texts would go.
+def _poor_lines(given: np.ndarray, path: np.ndarray, words: np.ndarray, per_text: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Labels of all lines: those of good texts are content; in poor ones the path decides, but the lines likeliest to be
+    boilerplate are that until they hold half the words."""
+    label, first = np.where(np.repeat(good, per_text), CONTENT, path), np.cumsum(per_text) - per_text
+    for k in np.flatnonzero(~good & (per_text > 0)):
+        own = np.arange(first[k], first[k] + per_text[k])
+        order = own[np.argsort(-given[own, BOILERPLATE], kind="stable")]
+        held = np.cumsum(words[order]) - words[order]
+        label[order[2 * held < words[own].sum()]] = BOILERPLATE
+    return label
 
-    Where either label is missing the model marks every line as content and keeps all.
-    """
-    model = Model()
-    if not len(texts) or good.all() or not good.any():
-        model.weights[:, CONTENT] = 1.0
-        return model
-    base, bins, words, per_text = measure(texts)
-    truth = np.repeat(np.where(good, CONTENT, BOILERPLATE), per_text)
+
+def _ascend(model: Model, bins: np.ndarray, per_text: np.ndarray, truth: np.ndarray, rounds: int, step: float, decay: float) -> None:
+    """Gradient ascent on the mean log-likelihood of the lines' labels."""
     lines = max(1, len(bins))
     onehot = np.eye(2)[truth]
     seen_moves = np.zeros((2, 2))
@@ -211,10 +217,26 @@ def fit(texts: list[bytes], good: np.ndarray, rounds: int = 120, step: float = 0
         for kind in range(bins.shape[1]):
             for label in (CONTENT, BOILERPLATE):
                 slope[:, label] += np.bincount(bins[:, kind], (onehot - given)[:, label], N_FEATURES)
-        steps = slope / lines - decay * model.weights, (seen_moves - moved) / lines - decay * model.moves
+        steps = slope / lines - decay * model.weights, (seen_moves - moved) / lines - STILL * model.moves
         for value, change, square in zip((model.weights, model.moves), steps, squares, strict=True):
             square += change**2
             value += step * change / (np.sqrt(square) + 1e-8)
+
+
+def fit(texts: list[bytes], good: np.ndarray, rounds: int = 60, labellings: int = 3, step: float = 0.5, decay: float = 1e-3) -> Model:
+    """Fit and label the lines of poor texts in turn, then lean to content until at most 1 in 500 good texts would go.
+
+    Where either label is missing, or no text has a line, the model marks every line as content and keeps all.
+    """
+    model = Model()
+    base, bins, words, per_text = measure(texts)
+    if not len(bins) or good.all() or not good.any():
+        model.weights[:, CONTENT] = 1.0
+        return model
+    truth = np.repeat(np.where(good, CONTENT, BOILERPLATE), per_text)
+    for _ in range(labellings):
+        _ascend(model, bins, per_text, truth, rounds, step, decay)
+        truth = _poor_lines(marginals(model, bins, per_text)[0], viterbi(model, bins, per_text), words, per_text, good)
     fair = good & ~base_fails(base)
     model.least_content = 0.5
     for _ in range(40):  # lean to content until at most 1 in 500 good texts would go
@@ -225,21 +247,27 @@ def fit(texts: list[bytes], good: np.ndarray, rounds: int = 120, step: float = 0
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 1500, most_bytes: int = 50_000) -> Model:
-    """Fit on at most `most` labelled texts of each quality, the first by a hash of doc_id; texts over most_bytes sit out.
+def train(docs: DataFrame, labels: DataFrame, most: int = 1500, most_bytes: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fit on at most `most` labelled texts of each quality, the first by a hash of the id; texts over most_bytes sit out.
 
-    The drawn labels are broadcast: their number is bounded by `most`, not by the table.
+    The drawn labels are broadcast: their number is bounded by `most`, not by the table. An executor fits; the driver gets
+    the weights. Null ids, texts and labels teach nothing.
     """
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text").between(1, most_bytes))
-    marked = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("good"))
+    text = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text")).where(F.octet_length("text").between(1, most_bytes))
+    marked = labels.select(quoted(id_col).alias("doc_id"), quoted(label_col).cast("int").alias("good")).where("good in (0, 1)")
     n = {r["good"]: r["count"] for r in marked.groupBy("good").count().collect()}
     rate = F.lit(0.0)
     for good, count in n.items():
         rate = F.when(F.col("good") == good, F.lit(min(1.0, 1.5 * most / max(1, count)))).otherwise(rate)
     drawn = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
-    found = text.join(F.broadcast(drawn), "doc_id").orderBy("good", F.xxhash64("doc_id"), "doc_id", "text").limit(4 * most).collect()
-    picked = [r for g in (0, 1) for r in [r for r in found if r["good"] == g][:most]]
-    return fit([r["text"].encode() for r in picked], np.array([r["good"] == 1 for r in picked], dtype=bool))
+    sample = text.join(F.broadcast(drawn), "doc_id").withColumn("place", F.xxhash64("doc_id")).orderBy("good", "place", "doc_id", "text").limit(4 * most)
+
+    def run(rows: pa.Table) -> dict:
+        rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("good", "place", "doc_id", "text")), strict=True))
+        picked = [r for g in (0, 1) for r in [r for r in rows if r[0] == g][:most]]
+        return fit([r[3].encode() for r in picked], np.array([r[0] == 1 for r in picked], dtype=bool)).__dict__
+
+    return Model(**fitted(sample, run))
 
 
 def verdicts(model: Model, texts: list[bytes]) -> dict[str, np.ndarray]:
