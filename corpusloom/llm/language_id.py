@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import fitted, quoted
 
 WINDOW, FILTERS, EMBEDDING, WIDTHS = 256, 12, 8, (2, 3, 4)
 UNKNOWN = "und"
@@ -138,38 +138,46 @@ class Scorer:
         return best, np.where(np.fromiter(map(len, texts), np.int64, len(texts)) > 0, shares[np.arange(len(texts)), best], 0.0)
 
 
-def train(docs: DataFrame, learn: Column, most: int = 200, languages: int = 64) -> Scorer:
-    """Train on at most `most` documents of each of the `languages` commonest values of lang, the first by a hash of doc_id.
-
-    learn is a condition that they must meet. Of each, four stretches spread over the whole text are windows to learn from,
-    and shortened copies of them stand for short texts.
-    """
-    known = docs.where(learn & F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    n = known.where(F.col("text").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    rate = F.lit(0.0)
-    for r in n:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.5 * most / r["count"]))).otherwise(rate)
-    places = F.array(*[F.substring("text", (F.floor(F.length("text") * k / 4) + 1).cast("int"), F.lit(WINDOW)) for k in range(4)])
-    drawn = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate * 1_000_000) & F.col("text").rlike(r"\p{L}"))
-    found = drawn.select("lang", "doc_id", places.alias("places")).orderBy("lang", F.xxhash64("doc_id"), "doc_id").limit(2 * most * max(1, len(n))).collect()
-    by_language: dict[str, list[bytes]] = {}
-    for r in found:
-        own = by_language.setdefault(r["lang"], [])
-        if len(own) < 4 * most:
-            own += [p.encode()[:WINDOW] for p in r["places"]]
-    network = Network.fresh(sorted(by_language) or [UNKNOWN])
-    texts, truth = [], []
+def learn_from(rows: list[tuple[str, str]]) -> Network:
+    """A network fitted to (language, text) pairs: all windows of each text, and a shortened copy of one for short texts."""
+    network = Network.fresh(sorted({name for name, _ in rows}) or [UNKNOWN])
+    number = {name: i for i, name in enumerate(network.languages)}
     rng = np.random.default_rng(7)
-    for number, name in enumerate(network.languages):
-        for text in dict.fromkeys(by_language.get(name, [])):
-            if text.strip():
-                texts += [text, text[: int(rng.integers(12, WINDOW))]]
-                truth += [number, number]
-    if texts and len(network.languages) > 1:
-        windows, _, _ = windows_of(texts)
-        per = np.bincount(truth, minlength=len(network.languages))
-        network.fit(windows, np.array(truth), (len(truth) / (len(per) * per))[truth])
-    return Scorer(network)
+    texts, truth = [], []
+    for name, text in dict.fromkeys(rows):
+        raw = text.encode()
+        if raw.strip():
+            at = int(rng.integers(len(raw)))
+            texts += [raw, raw[at : at + int(rng.integers(12, WINDOW))]]
+            truth += [number[name]] * 2
+    if len(network.languages) > 1:
+        windows, owner, _ = windows_of(texts)
+        own = np.array(truth)[owner]
+        per = np.bincount(own, minlength=len(network.languages))
+        network.fit(windows, own, (len(own) / (len(per) * np.maximum(per, 1)))[own])
+    return network
+
+
+def train(docs: DataFrame, learn: Column, most: int = 200, most_bytes: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Scorer:
+    """Train on at most `most` documents of every value of lang, the first by a hash of the id, from all windows of their texts.
+
+    learn is a condition on the column doc_id; texts over most_bytes serve as no example, unless a language has only such.
+    An executor trains; the driver gets the weights. Null ids, texts and languages teach nothing.
+    """
+    known = docs.select(quoted(id_col).alias("doc_id"), quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").alias("text"))
+    known = known.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    n = known.groupBy("lang").count().collect()  # a row for each class of the network
+    rates = F.create_map(*[F.lit(x) for r in n for x in (r["lang"], min(1.0, 2.0 * most / r["count"]))]) if n else F.lit(None).cast("map<string,double>")
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rates[F.col("lang")] * 1_000_000)
+    first = Window.partitionBy("lang").orderBy(F.octet_length("text") > most_bytes, F.xxhash64("doc_id"), "doc_id", "text")
+    sample = drawn.withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
+    sample = sample.select("lang", F.when(F.octet_length("text") > most_bytes, F.substring("text", 1, most_bytes // 4)).otherwise(F.col("text")).alias("text"), "place")
+
+    def run(rows: pa.Table) -> dict:
+        rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("lang", "place", "text")), strict=True))
+        return learn_from([(r[0], r[2]) for r in rows]).__dict__
+
+    return Scorer(Network(**fitted(sample, run)))
 
 
 def identify(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
