@@ -1,18 +1,19 @@
 """Secret scans with an incremental blob ledger, in DataFrame functions alone.
 
 Every version of every path is addressed by the SHA-256 of its text. A ledger remembers which (blob, rule, version)
-triples were scanned and what they held. A scan groups its input by blob first (copies collapse before the shuffle),
-scans each blob only for the rule versions the ledger lacks, and joins the findings back to all paths that hold it.
+triples were scanned and what they held. An update collapses copies before the shuffle, scans each blob only for the rule
+versions the ledger lacks, appends what it found, and joins the ledger's findings back to all paths that hold the blob.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import quoted, scratch_dir, stage
 
 
 @dataclass(frozen=True)
@@ -51,15 +52,12 @@ def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def unseen_blobs(keyed: DataFrame, rules: tuple[Rule, ...], scanned: DataFrame | None) -> DataFrame:
-    """(blob, text, missing): each distinct blob once, with the keys of the rule versions it was not scanned for."""
-    blobs = keyed.groupBy("blob").agg(F.first("text").alias("text"))
+def unseen(blobs: DataFrame, rules: tuple[Rule, ...], scanned: DataFrame) -> DataFrame:
+    """(blob, missing): blobs (each once) that lack rule versions in the ledger's scanned keys, and the keys they lack."""
     every = F.array(*[F.lit(r.key) for r in rules])
-    if scanned is None:
-        return blobs.withColumn("missing", every)
     seen = scanned.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    left = blobs.join(seen, "blob", "left").withColumn("missing", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))))
-    return left.where(F.size("missing") > 0).select("blob", "text", "missing")
+    left = blobs.join(seen, "blob", "left").select("blob", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))).alias("missing"))
+    return left.where(F.size("missing") > 0)
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -98,20 +96,6 @@ def keyed_versions(versions: DataFrame, id_col: str, text_col: str) -> DataFrame
     return versions.select(quoted(id_col).alias("path"), text.alias("text"), blob_of(text).alias("blob"))
 
 
-def scan(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, scanned: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
-    """(path, blob, spans) for every row of versions, in no order.
-
-    scanned and findings are a ledger's tables (SCANNED, FINDINGS); without them every blob is unseen.
-    A null text is an empty one; empty texts have no spans (an empty array). Repeated rows and copies each get their own
-    row. A null id is kept. Other columns of versions, whatever their names, take no part. An empty table gives no rows.
-    """
-    keyed = keyed_versions(versions, id_col, text_col)
-    new = scan_blobs(unseen_blobs(keyed, rules, scanned), rules)
-    known = new if findings is None else findings.select("blob", "rule", "start", "end").unionByName(new)
-    spans = per_blob(known, rules)
-    return keyed.select("path", "blob").join(spans, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
-
-
 class BlobLedger:
     """The two ledger tables as Parquet under one folder; each update appends a batch.
 
@@ -122,6 +106,14 @@ class BlobLedger:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    @classmethod
+    def fresh(cls, spark: SparkSession) -> BlobLedger:
+        """An empty ledger in the shared folder, of a name of its own; it goes when the driver's JVM ends."""
+        ledger = cls(spark, f"{scratch_dir(spark)}/corpusloom/ledger-{uuid.uuid4().hex}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger.folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        return ledger
+
     def _read(self, name: str, schema: str) -> DataFrame:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
@@ -134,18 +126,31 @@ class BlobLedger:
         return self._read("findings", FINDINGS)
 
     def update(self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """Scan what is unseen, append it, and return scan()'s rows for versions from the ledger."""
-        todo = unseen_blobs(keyed_versions(versions, id_col, text_col), rules, self.scanned())
-        keys = todo.select("blob", F.explode("missing").alias("rule"))
-        keys = keys.select([F.col(c) for c in ("blob", "rule")])
-        from .common import stage
+        """Scan what is unseen and append it to the ledger; (path, blob, spans) for every row of versions, in no order.
+
+        A null text is an empty one; empty texts have no spans (an empty array). Repeated rows and copies each get their own
+        row. A null id is kept. Other columns of versions, whatever their names, take no part. An empty table gives no rows.
+        """
+        keyed = keyed_versions(versions, id_col, text_col)
+        paths = stage(keyed.select("path", "blob"), "paths")
+        spans = self.spans(keyed, paths.select("blob").distinct(), rules)
+        return paths.join(spans, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
+
+    def spans(self, keyed: DataFrame, blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+        """per_blob() of the given blobs, written, once all they lack is scanned; keyed: rows of (blob, text) that hold them.
+
+        Rows meet the written spans in a join of two plain shuffles, which Spark splits where a blob has very many paths.
+        """
+        todo = stage(unseen(blobs, rules, self.scanned()), "unseen")
+        texts = keyed.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
+        scan_blobs(texts, rules).write.mode("append").parquet(f"{self.folder}/findings")
+        todo.select("blob", F.explode("missing").alias("rule")).write.mode("append").parquet(f"{self.folder}/scanned")
+        return stage(per_blob(self.findings().join(blobs, "blob", "left_semi"), rules), "spans")
+
 
-        todo_keys = stage(keys, "ledger-keys")
-        scan_blobs(todo, rules).write.mode("append").parquet(f"{self.folder}/findings")
-        todo_keys.write.mode("append").parquet(f"{self.folder}/scanned")
-        keyed = keyed_versions(versions, id_col, text_col).select("path", "blob")
-        spans = per_blob(self.findings(), rules)
-        return keyed.join(spans, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
+def scan(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """BlobLedger.update() of a ledger that knows nothing yet."""
+    return BlobLedger.fresh(versions.sparkSession).update(versions, id_col, text_col, rules)
 
 
 def spans_text(spans: Column) -> Column:
@@ -164,10 +169,13 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))))
 
 
-def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs, all columns as they are, but with every span of every text replaced by its kind in brackets."""
-    text = quoted(text_col).cast("string")
-    found = per_blob(scan_blobs(unseen_blobs(keyed_versions(docs, text_col, text_col), rules, None), rules), rules)
-    joined = docs.withColumn("__blob", blob_of(text)).join(found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "__blob", "left")
-    clean = F.when(F.col("__spans").isNull(), text).otherwise(redact(text, F.col("__spans")))
-    return joined.select(*[clean.alias(c) if c == text_col else quoted(c) for c in docs.columns])
+def redacted(docs: DataFrame, ledger: BlobLedger | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs, all columns as they are, but with every span of every text replaced by its kind in brackets. A null text stays."""
+    columns = [f"c{i}" for i in range(len(docs.columns))]  # no name of a column can clash with blob or spans
+    text = columns[docs.columns.index(text_col)]
+    keyed = docs.toDF(*columns).withColumn("blob", blob_of(F.col(text).cast("string")))
+    held = keyed.select("blob", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    found = (ledger or BlobLedger.fresh(docs.sparkSession)).spans(held, held.select("blob").distinct(), rules)
+    joined = keyed.join(found, "blob", "left")
+    clean = F.when(F.col("spans").isNull(), F.col(text)).otherwise(redact(F.col(text).cast("string"), F.col("spans")))
+    return joined.select(*[(clean if c == text else F.col(c)).alias(name) for c, name in zip(columns, docs.columns, strict=True)])
