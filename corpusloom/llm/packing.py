@@ -10,23 +10,42 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import quoted
+from .token_count import loaded
 
-#: Length of a sequence in words, and rows of a shard. Both are parameters; shards grow in number, not in size.
+#: Length of a sequence in tokens, and rows of a shard. Both are parameters; shards grow in number, not in size.
 CAPACITY, SHARD_ROWS = 2048, 4096
-WORD = r"[^\x20\x09-\x0D]+"
 
 
-def n_words(text: Column) -> Column:
-    """Words of a text, counted as the gaps between them."""
-    inner = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(F.length(inner) > 0, F.size(F.split(inner, r"[\x20\x09-\x0D]+"))).otherwise(0).cast("long")
+def measured(docs: DataFrame, tokenizer: str, id_col: str, source_col: str, text_col: str, cluster_col: str | None) -> DataFrame:
+    """(doc_id, source, cluster, length): tokens of the whole text, and its duplicate cluster.
+
+    Without a column of clusters, texts of the same words are one, whatever their case and the space between them.
+    """
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    cluster = quoted(cluster_col).cast("bigint") if cluster_col else F.lit(None).cast("bigint")
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(source_col).cast("string").alias("source"), cluster.alias("cluster"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        bpe = loaded(tokenizer)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            clusters = batch.column("cluster")
+            if cluster_col is None:
+                marks = np.fromiter((xxh3_64_intdigest(b" ".join(t.lower().encode().split())) for t in texts), np.uint64, len(texts))
+                clusters = pa.array(marks.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), clusters, pa.array(bpe.count_texts(texts), pa.int64())], names=["doc_id", "source", "cluster", "length"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, cluster bigint, length bigint")
 
 
 def bit_numbers(values: list) -> list[int]:
@@ -81,27 +100,27 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
     return bins, offsets
 
 
-def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cluster_col: str | None = None, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, piece, begin, length, shard, bin, offset): every piece of every row of docs, once.
 
-    length defaults to the words of the text. A piece is words begin to begin + length of its text; it lies at offset in bin
-    `bin` of its shard. Full pieces have bins of their own, numbered under 0. Rows of equal text are a duplicate cluster;
-    rows of a cluster, or of a source, never share a bin. Null and wordless texts have length 0 and no piece: they come out
-    with piece 0, length 0 and null bin. A null source conflicts with nothing. Rows that repeat an id are packed each; a null
-    id too. Other columns take no part; an empty table gives no rows. Shards are dealt by a hash of id and text.
+    A piece is tokens begin to begin + length of its text, as tokenizer (a byte-level BPE .json that executors can open)
+    counts them; it lies at offset in bin `bin` of its shard. Full pieces have bins of their own, numbered under 0.
+    cluster_col names a column of duplicate clusters, such as ngram_join's component_id; without one, texts of the same
+    words are a cluster. Rows of a cluster, or of a source, never share a bin; nulls conflict with nothing. Null and empty
+    texts come out with piece 0, length 0 and null bin. Rows that repeat an id are packed each; a null id too. Other columns
+    take no part; an empty table gives no rows. Shards are dealt by a hash of id, cluster, source and length.
     """
-    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
-    words = F.coalesce(length, F.lit(0)).cast("long") if length is not None else n_words(text)
-    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(source_col).cast("string").alias("source"), F.xxhash64(text).alias("cluster"), F.greatest(words, F.lit(0)).alias("words"))
+    rows = measured(docs, tokenizer, id_col, source_col, text_col, cluster_col)
     shards = max(1, math.ceil(docs.count() / shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int"))
+    # copies of one row are spread as well, by where they are read
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "source", "length", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def fill(key: tuple, group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        order = np.lexsort((group.column("cluster").to_numpy(), group.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False), -(group.column("words").to_numpy() % capacity)))
-        group = group.take(pa.array(order))
-        ids, words = group.column("doc_id").to_pylist(), group.column("words").to_pylist()
+        left = pa.array(-(group.column("length").to_numpy() % capacity))
+        group = group.append_column("left", left).sort_by([(c, "ascending") for c in ("left", "doc_id", "cluster", "source", "length")])
+        ids, words = group.column("doc_id").to_pylist(), group.column("length").to_pylist()
         sources, clusters = group.column("source").to_pylist(), group.column("cluster").to_pylist()
         tails = [i for i, w in enumerate(words) if w % capacity]
         bins, offsets = best_fit([words[i] % capacity for i in tails], [sources[i] for i in tails], [clusters[i] for i in tails], capacity)
