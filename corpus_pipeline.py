@@ -10,34 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import ngram_join, packing, quality, secret_scan, toxicity
-from corpusloom.llm.common import stage, table
+from corpusloom.llm.common import stage, table, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that fail the base rules, or in which boilerplate lines outweigh content, go."""
+    """Texts that fail the base rules, or in which boilerplate lines outweigh content, go; null and empty texts fail them."""
     return quality.keep(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose nearest labelled examples call them toxic go."""
+    """Texts whose nearest labelled examples call them toxic go; a text near no example scores as the prior."""
     return toxicity.keep(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by five-word shingles at a similarity of 0.8 or more, the one of the smallest id stays."""
-    found = ngram_join.join(docs, n=5, percent=80)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of texts linked by five-word shingles at a similarity of 0.8 or more, the one of the smallest id stays.
+
+    Goes by id and text; repeated rows stay once, rows of null id and texts without words stay as they are.
+    """
+    return ngram_join.representatives(docs, n=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to their kind in brackets; no text goes."""
+    """Secrets give way to their kind in brackets; no text goes, null texts stay null. n_chars follows the text."""
     return secret_scan.redacted(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every piece of every text left lies in the training sequences."""
-    return packing.pack(docs)
+    """Where every piece of every text left lies in the training sequences; null and empty texts have no bin."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import quoted, stage
@@ -137,7 +137,7 @@ def frequency_levels(texts: DataFrame, n: int, bits: int) -> bytes:
             for x in batch.column(0):
                 own.append((shingles(x.as_py(), n) >> np.uint64(64 - bits)).astype(np.int64))
                 held += len(own[-1])
-                if held > 1 << 20:
+                if held > 1 << 18:
                     put(own)
                     own, held = [], 0
         if own:
@@ -175,6 +175,11 @@ class Sieve:
         return (np.frombuffer(self.shared.value, dtype=np.uint8)[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def fingerprint(size: int, values: np.ndarray) -> np.ndarray:
+    """128 bits of a set of so many shingles, or of its prefix, as two numbers."""
+    return np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16, salt=size.to_bytes(8, "little")).digest(), dtype=np.int64)
+
+
 def parity_map(values: np.ndarray) -> bytes:
     """A bit for each residue of a set's hashes, set where an odd number of them falls; as many bits as the next power of two."""
     bits = 1 << max(6, (len(values) - 1).bit_length())
@@ -193,31 +198,30 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def prefixes(texts: DataFrame, n: int, percent: int, levels: bytes, bits: int) -> DataFrame:
-    """(doc_id, size, f1, f2, g1, g2, prefix, parity): set size, fingerprints of the set and of prefix with size, and more."""
+    """(doc_id, size, f1, f2, g1, g2, prefix, parity, text_hash): set size, fingerprints of the set and of prefix with size, and more."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)  # 2**(bits - 1) bytes at most, whatever the corpus
-    names = ["doc_id", "size", "f1", "f2", "g1", "g2", "prefix", "parity"]
+    names = ["doc_id", "text_hash", "size", "f1", "f2", "g1", "g2", "prefix", "parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(shared.value, dtype=np.uint8)
-        mark = lambda size, values: np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16, salt=size.to_bytes(8, "little")).digest(), dtype=np.int64)
         for batch in batches:
             sizes, marks, own, maps = [], [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 values = shingles(x.as_py(), n)
                 size = len(values)
                 cell = (values >> np.uint64(64 - bits)).astype(np.int64)
                 rank = level[cell >> 1] >> (4 - 4 * (cell & 1)).astype(np.uint8) & 15 if size else cell
                 first = values[np.argsort(rank, kind="stable")[: size + 1 - -(-percent * size // 100)]] if size else values
                 sizes.append(size)
-                marks.append(np.concatenate([mark(size, values), mark(size, first)]))
+                marks.append(np.concatenate([fingerprint(size, values), fingerprint(size, first)]))
                 own.append(first.view(np.int64))
                 maps.append(parity_map(values))
             marks = np.stack(marks) if marks else np.zeros((0, 4), dtype=np.int64)
             ends = np.concatenate([[0], np.cumsum([len(p) for p in own])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(marks[:, i].copy()) for i in range(4)), prefix, pa.array(maps, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *(pa.array(marks[:, i].copy()) for i in range(4)), prefix, pa.array(maps, pa.binary())], names=names)
 
-    return texts.mapInArrow(run, "doc_id bigint, size bigint, f1 bigint, f2 bigint, g1 bigint, g2 bigint, prefix array<bigint>, parity binary")
+    return texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id bigint, text_hash bigint, size bigint, f1 bigint, f2 bigint, g1 bigint, g2 bigint, prefix array<bigint>, parity binary")
 
 
 def buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -269,37 +273,49 @@ def possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return held.mapInArrow(run, "hub bigint, spoke bigint")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b) of the given pairs (hub, spoke), written, whose shingle sets are similar enough. An id of several texts counts with each.
+def linked(pairs: DataFrame, maps: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) of the given pairs (hub, spoke), written, whose shingle sets are similar enough; maps: (cls, least, f1), each once.
 
-    A hub's text goes once to every CHUNK of its spokes.
+    A class is read from a text of its least id; where that id has several texts, its fingerprint tells which. A hub's text
+    goes once to every CHUNK of its spokes.
     """
     chunks = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     dealt = pairs.join(chunks, "hub").select("hub", "spoke", F.pmod(F.xxhash64("spoke"), F.col("chunks")).cast("int").alias("chunk"))
     hubs = dealt.select("hub", "chunk").distinct().select(F.col("hub").alias("cls"), "hub", "chunk", F.lit(True).alias("is_hub"))
-    needed = stage(dealt.select(F.col("spoke").alias("cls"), "hub", "chunk", F.lit(False).alias("is_hub")).unionByName(hubs), "needed")
-    sieve = Sieve(needed.select("cls").distinct())
+    needed = dealt.select(F.col("spoke").alias("cls"), "hub", "chunk", F.lit(False).alias("is_hub")).unionByName(hubs)
+    needed = stage(needed.join(maps.select("cls", "least", "f1"), "cls"), "needed")
+    sieve = Sieve(needed.select("least").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(sieve.passes(batch.column(0).to_numpy())))
 
-    found = texts.where("doc_id is not null").select(F.col("doc_id").alias("cls"), "text").mapInArrow(run, "cls bigint, text binary").dropDuplicates(["cls", "text"])
+    found = texts.where("doc_id is not null").select(F.col("doc_id").alias("least"), "text").mapInArrow(run, "least bigint, text binary").dropDuplicates(["least", "text"])
 
     def verify(key: tuple, rows: pa.Table) -> pa.Table:
-        is_hub = rows.column("is_hub").to_numpy(zero_copy_only=False)
-        hub = [shingles(rows.column("text")[i].as_py(), n) for i in np.flatnonzero(is_hub).tolist()]
+        sets: dict[bool, dict[int, np.ndarray]] = {True: {}, False: {}}
+        for cls, f1, is_hub, text in zip(*(rows.column(c).to_pylist() for c in ("cls", "f1", "is_hub", "text")), strict=True):
+            values = shingles(text, n)
+            if fingerprint(len(values), values)[0] == f1:
+                sets[is_hub][cls] = values
         found: list[int] = []
-        for i in np.flatnonzero(~is_hub).tolist():
-            other = shingles(rows.column("text")[i].as_py(), n)
-            for mine in hub:
+        for mine in sets[True].values():
+            for cls, other in sets[False].items():
                 both = len(np.intersect1d(mine, other, assume_unique=True))
                 if 100 * both >= percent * (len(mine) + len(other) - both):
-                    found.append(rows.column("cls")[i].as_py())
-                    break
+                    found.append(cls)
         return pa.table({"a": pa.array([key[0].as_py()] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
-    return found.join(needed, "cls").groupBy("hub", "chunk").applyInArrow(verify, "a bigint, b bigint")
+    return found.join(needed, "least").groupBy("hub", "chunk").applyInArrow(verify, "a bigint, b bigint")
+
+
+def numbered(classes: DataFrame) -> DataFrame:
+    """classes with a number cls each: its least id, or, for all but one class of an id with several texts, one beyond 2**62."""
+    if classes.groupBy("least").count().where("count > 1").isEmpty():
+        return classes.withColumn("cls", F.col("least"))
+    place = F.row_number().over(Window.partitionBy("least").orderBy("f1", "f2"))
+    beyond = F.lit(1 << 62) + F.xxhash64("f1", "f2").bitwiseAND(F.lit((1 << 62) - 1))
+    return stage(classes.withColumn("cls", F.when(place == 1, F.col("least")).otherwise(beyond)), "numbered")
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +373,7 @@ def _connected(met: DataFrame, maps: DataFrame, texts: DataFrame, n: int, percen
 
     def found(pairs: DataFrame) -> DataFrame:
         left = stage(possible(pairs, maps, percent), "possible")
-        return left.toDF("a", "b") if left.isEmpty() else stage(linked(left, texts, n, percent), "links")
+        return left.toDF("a", "b") if left.isEmpty() else stage(linked(left, maps, texts, n, percent), "links")
 
     few = stage(counted.where(F.col("n") <= ALL_PAIRS), "few")
     close = side(few, "a").join(side(few, "b"), "bucket").where(F.col("a_cls") < F.col("b_cls"))
@@ -385,23 +401,44 @@ def _connected(met: DataFrame, maps: DataFrame, texts: DataFrame, n: int, percen
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs.
+    """(doc_id, n_shingles, component_id, text_hash) for every row of docs; text_hash is xxhash64 of the text's bytes.
 
     Two texts link if 100 * shared shingles >= percent * shingles of either; component_id is the smallest id that links
     reach. A null, empty or wordless text has no shingles and is its own component, as is a row of null id (component null).
-    Rows that repeat an id and text are of one class; an id with several texts counts in each one's component. Other
-    columns take no part; an empty table gives no rows. Hashes of 64 bits stand for shingles, of 128 for sets.
+    Rows that repeat an id and text are of one class; where an id has several texts, each row goes by its own. Other columns
+    take no part; an empty table gives no rows. Hashes of 64 bits stand for shingles, of 128 for sets.
     """
     texts = _texts(docs, id_col, text_col)
-    if bits is None:  # about a cell a shingle, from 2**16 to 2**26 of them (32 MB)
+    if bits is None:  # about a cell a shingle, from 2**16 to 2**25 of them (16 MB)
         letters = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = min(26, max(16, math.ceil(math.log2(1 + letters / 6))))
+        bits = min(25, max(16, math.ceil(math.log2(1 + letters / 6))))
     marked = stage(prefixes(texts, n, percent, frequency_levels(texts, n, bits), bits), "prefixes")
     rows = marked.where("size > 0 and doc_id is not null")
-    classes = stage(rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("cls"), *[F.first(c).alias(c) for c in ("g1", "g2", "size", "parity")]), "classes")
+    classes = numbered(stage(rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("g1", "g2", "size", "parity")]), "classes"))
     met = stage(buckets(rows, classes), "buckets")
-    maps = classes.select("cls", "size", "parity")
-    named = _connected(met, maps, texts, n, percent)
-    named = classes.join(named, "cls", "left").select("f1", "f2", F.coalesce("component", "cls").alias("component"))
-    out = marked.select("doc_id", "size", "f1", "f2").join(named, ["f1", "f2"], "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = _connected(met, classes.select("cls", "least", "f1", "size", "parity"), texts, n, percent)
+    named = classes.select("cls", "least", "f1", "f2").join(named, "cls", "left").withColumn("root", F.coalesce("component", "cls"))
+    lowest = named.groupBy("root").agg(F.min("least").alias("component"))
+    named = named.drop("component").join(lowest, "root").select("f1", "f2", "component")
+    out = marked.select("doc_id", "text_hash", "size", "f1", "f2").join(named, ["f1", "f2"], "left")
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, but one document of each group of linked texts: that of the smallest id.
+
+    Goes by id and text: where an id has several texts, each stays or goes by its own group. Of rows that repeat an id and
+    text the first by their other columns stays. Rows of null id, and texts without shingles, are in no group and stay.
+    """
+    found = stage(join(docs, n, percent, id_col, text_col).where("doc_id is not null"), "found")
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    key = docs.toDF(*columns).withColumn("doc_id", F.col(columns[docs.columns.index(id_col)]).cast("bigint"))
+    key = key.withColumn("text_hash", F.xxhash64(F.coalesce(F.col(columns[docs.columns.index(text_col)]).cast("string"), F.lit("")).cast("binary")))
+    gone = found.where("doc_id <> component_id").select("doc_id", "text_hash").distinct()
+    again = stage(found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"), "again")
+    left = key.join(gone, ["doc_id", "text_hash"], "left_anti")
+    if not again.isEmpty():
+        order = Window.partitionBy("doc_id", "text_hash").orderBy(*[F.col(c).cast("string") for c in columns])
+        first = left.join(again, ["doc_id", "text_hash"], "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+        left = left.join(again, ["doc_id", "text_hash"], "left_anti").unionByName(first)
+    return left.select(*columns).toDF(*docs.columns)

@@ -50,7 +50,7 @@ def _secret_sql() -> str:
 
 @query(_secret_sql())
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    found = secret_scan.BlobLedger.fresh(spark).update(table(spark, sf_dir, "documents"))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secret_scan.BASE_RULES]))
     return found.select(
@@ -141,7 +141,7 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
 
 
 _NGRAM_SQL = r"""
@@ -159,4 +159,4 @@ SELECT doc_id, len(g)::BIGINT AS n_shingles, coalesce(component, doc_id) AS comp
 
 @query(_NGRAM_SQL)
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, percent=90).drop("text_hash")

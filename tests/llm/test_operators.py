@@ -59,13 +59,20 @@ def test_secrets_against_regular_expressions(spark):
 def test_secrets_ledger_scans_only_the_unseen(spark, odd, tmp_path):
     ledger = secret_scan.BlobLedger(spark, f"file://{tmp_path}/ledger")
     assert {r["path"]: r["spans"] for r in ledger.update(odd).collect()} == {r["path"]: r["spans"] for r in secret_scan.scan(odd).collect()}
+    blobs = secret_scan.keyed_versions(odd, "doc_id", "text").select("blob").distinct()
     n = ledger.scanned().count()
-    assert secret_scan.unseen_blobs(secret_scan.keyed_versions(odd, "doc_id", "text"), secret_scan.RULES, ledger.scanned()).count() == 0
+    assert n == blobs.count() * len(secret_scan.RULES)  # every pair once, copies and nulls included
+    assert secret_scan.unseen(blobs, secret_scan.RULES, ledger.scanned()).count() == 0
     ledger.update(odd)
     assert ledger.scanned().count() == n
     newer = tuple(secret_scan.Rule(r.kind, r.pattern, r.group, r.min_length, 2) if r.kind == "jwt" else r for r in secret_scan.RULES)
-    todo = secret_scan.unseen_blobs(secret_scan.keyed_versions(odd, "doc_id", "text"), newer, ledger.scanned())
+    todo = secret_scan.unseen(blobs, newer, ledger.scanned())
     assert {tuple(r["missing"]) for r in todo.collect()} == {("jwt@2",)}
+    ledger.update(odd, rules=newer)
+    assert ledger.scanned().count() == n + blobs.count()  # of all rules only the new version is scanned
+    more = odd.limit(1).selectExpr("99L AS doc_id", "'secret=brandnewvalue' AS text")
+    assert [s["kind"] for s in ledger.update(more, rules=newer).first()["spans"]] == ["assign"]
+    assert ledger.scanned().count() == n + blobs.count() + len(newer)
 
 
 def test_secrets_odd_rows_and_redaction(spark, odd, none):
@@ -170,6 +177,35 @@ def test_ngram_join_against_brute_force(spark, n, percent):
     assert {i: (g["n_shingles"], g["component_id"]) for i, g in got.items()} == wanted
 
 
+def test_parity_maps_never_overstate_a_difference():
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        pool = np.unique(r.integers(0, 2**64, 700, dtype=np.uint64))
+        a, b = (r.choice(pool, r.integers(1, 600), replace=False) for _ in range(2))
+        apart = len(np.setxor1d(a, b))
+        least = ngram_join.least_difference(ngram_join.parity_map(a), ngram_join.parity_map(b))
+        assert least <= apart and least == ngram_join.least_difference(ngram_join.parity_map(b), ngram_join.parity_map(a))
+        assert ngram_join.least_difference(ngram_join.parity_map(a), ngram_join.parity_map(a.copy())) == 0
+
+
+def test_components_of_paths_cycles_and_loops(spark):
+    r = random.Random(11)
+    links = [(i, i + 1) for i in range(300)] + [(500 + r.randrange(60), 500 + r.randrange(60)) for _ in range(50)] + [(900, 900)]
+    parent = {x: x for pair in links for x in pair}
+    for _ in parent:
+        for a, b in links:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    got = {r["cls"]: r["component"] for r in ngram_join.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(7)).collect()}
+    assert all(got.get(x, x) == low for x, low in parent.items())
+
+
+def test_ngram_join_goes_by_each_text_of_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b), (6, a + " more"), (6, c), (2, c + " more"), (9, c), (5, c)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(3, 3), (5, 5), (5, 3), (6, 5), (6, 2), (2, 2), (9, 2), (5, 2)])
+
+
 def test_ngram_join_odd_rows(odd, none):
     rows = ngram_join.join(odd, 3, 90).collect()
     assert len(rows) == odd.count()
@@ -200,11 +236,66 @@ def test_best_fit_takes_the_tightest_compatible_bin():
             held[k]["sources"].add(sources[i])
 
 
+def plain_best_fit(rows, capacity):
+    """rows: (doc_id, source, cluster, length), one shard. (doc_id, piece, begin, length, bin, offset) by trying every bin."""
+    held, out, own = [], [], 0
+    lowest = lambda v: (v is not None, v if v is not None else 0)
+    order = sorted(rows, key=lambda r: (-(r[3] % capacity), lowest(r[0]), lowest(r[2]), (r[1] is not None, r[1] or ""), r[3]))
+    for doc, source, cluster, length in order:
+        rest = length % capacity
+        if not rest:
+            continue
+        fits = [(b["left"], k) for k, b in enumerate(held) if b["left"] >= rest and (cluster is None or cluster not in b["clusters"]) and (source is None or source not in b["sources"])]
+        if not fits:
+            held.append({"left": capacity, "clusters": set(), "sources": set()})
+        k = min(fits)[1] if fits else len(held) - 1
+        out.append((doc, length // capacity, length - rest, rest, k, capacity - held[k]["left"]))
+        held[k]["left"] -= rest
+        held[k]["clusters"].add(cluster)
+        held[k]["sources"].add(source)
+    for doc, _, _, length in order:
+        if not length:
+            out.append((doc, 0, 0, 0, None, None))
+        for piece in range(length // capacity):
+            own += 1
+            out.append((doc, piece, piece * capacity, capacity, -own, 0))
+    return out
+
+
+def library_counts(texts):
+    from tokenizers import Tokenizer
+
+    return [len(e.ids) for e in Tokenizer.from_file(tokenizer_path(queries.TOKENIZER)).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def cluster_of(text):
+    from xxhash import xxh3_64_intdigest
+
+    mark = xxh3_64_intdigest(b" ".join((text or "").lower().encode().split()))
+    return mark - 2**64 if mark >= 2**63 else mark
+
+
+def without_number(rows):
+    """Full pieces without their bins' numbers, which go by the order of equal rows."""
+    return Counter((*r[:4], None if r[4] is not None and r[4] < 0 else r[4], r[5]) for r in rows)
+
+
+def test_packing_query_against_brute_force(spark, sf):
+    docs = table(spark, sf, "documents").collect()
+    counts = library_counts([r["text"] for r in docs])
+    wanted = plain_best_fit([(r["doc_id"], r["source"], cluster_of(r["text"]), n) for r, n in zip(docs, counts, strict=True)], packing.CAPACITY)
+    got = queries.op4_best_fit_packing(spark, sf).collect()
+    assert {r["shard"] for r in got} == {0}
+    assert without_number([(r["doc_id"], r["piece"], r["begin"], r["length"], r["bin"], r["offset"]) for r in got]) == without_number(wanted)
+
+
 def test_packing_places_everything_once(odd, none):
-    rows = packing.pack(odd, capacity=100, shard_rows=4).collect()
-    for i, text in enumerate(TEXTS):
+    path = tokenizer_path(queries.TOKENIZER)
+    rows = packing.pack(odd, path, capacity=100, shard_rows=4).collect()
+    counts = library_counts(TEXTS)
+    for i in range(len(TEXTS)):
         own = [r for r in rows if r["doc_id"] == i]
-        assert sum(r["length"] for r in own) == len((text or "").split()) * (2 if i == 5 else 1)
+        assert sum(r["length"] for r in own) == counts[i] * (2 if i == 5 else 1)
     bins = defaultdict(list)
     for r in rows:
         if r["length"]:
@@ -212,7 +303,10 @@ def test_packing_places_everything_once(odd, none):
     for spans in bins.values():
         spans.sort()
         assert spans[-1][1] <= 100 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
-    assert packing.pack(none).count() == 0
+    assert packing.pack(none, path).count() == 0
+    given = odd.withColumn("group", F.lit(7))  # one cluster by column: no two in a bin
+    apart = packing.pack(given, path, source_col="n", cluster_col="group", capacity=10**6).where("length > 0").collect()
+    assert len({(r["shard"], r["bin"]) for r in apart}) == len(apart) == 11
 
 
 # quality, toxicity, language
@@ -244,6 +338,52 @@ def test_quality_counts_and_verdicts(spark, sf, odd, none):
     assert quality.train(docs, table(spark, sf, "labels").limit(0)).least_content == 0.0
 
 
+def plain_kept(model, text):
+    """The verdict by trying the chain line by line in plain numbers."""
+    base, bins, words, _ = quality.measure([text])
+    if quality.base_fails(base)[0]:
+        return False
+    best, back = [0.0, 0.0], []
+    for i, line in enumerate(bins.tolist()):
+        own = [sum(model.weights[f][y] for f in line) for y in (0, 1)]
+        if i:
+            come = [max((best[x] + model.moves[x][y], -x) for x in (0, 1)) for y in (0, 1)]
+            back.append([-c[1] for c in come])
+            best = [come[y][0] + own[y] for y in (0, 1)]
+        else:
+            best = own
+    label = [int(best[1] > best[0])]
+    for step in reversed(back):
+        label.append(step[label[-1]])
+    content = sum(w for w, y in zip(words.tolist(), label[::-1], strict=True) if y == quality.CONTENT)
+    return content / max(1, words.sum()) >= model.least_content
+
+
+def test_quality_query_against_plain_chain(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality.train(docs, table(spark, sf, "labels"))
+    got = by_id(queries.op5_quality_rules(spark, sf))
+    assert len(got) == docs.count()
+    assert all(got[r["doc_id"]]["kept"] == plain_kept(model, (r["text"] or "").encode()) for r in docs.collect())
+
+
+def test_quality_on_held_out_texts_and_mixed_lines(spark):
+    """Poor texts that were not learnt from go, good ones stay, and texts with junk beside prose get both labels."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality.train(docs, labels.where(crc_bucket(F.col("doc_id"), 5) != 0))
+    held = quality.assess(docs, model).join(labels.where(crc_bucket(F.col("doc_id"), 5) == 0), "doc_id").where("not base_failed").collect()
+    good, poor = [r["kept"] for r in held if r["quality"] == 1], [r["kept"] for r in held if r["quality"] == 0]
+    assert sum(good) >= 0.97 * len(good) and sum(poor) <= 0.5 * len(poor)
+    prose = [r["text"] for r in labels.where("quality = 1").join(docs.where("lang = 'en' and n_chars between 400 and 3000"), "doc_id").orderBy("doc_id").limit(30).collect()]
+    junk = [" ".join(f"{w}{'*$%&'[i % 4] * 3}" for i, w in enumerate(t.split())) for t in prose]
+    mixed = [f"{a}\n{b}\n{a}".encode() for a, b in zip(prose, junk, strict=True)]
+    share = quality.verdicts(model, mixed)["content_share"]
+    assert ((share > 0) & (share < 1)).sum() >= 20
+    whole = quality.assess(docs, model).select("content_share").collect()
+    assert sum(0 < r[0] < 1 for r in whole) >= 10
+
+
 def test_viterbi_and_marginals_against_all_paths():
     from itertools import product
 
@@ -264,6 +404,17 @@ def test_viterbi_and_marginals_against_all_paths():
         at += n
 
 
+def weighed(texts):
+    """Plain TF-IDF unit vectors over all terms of all texts."""
+    df = Counter(t for text in texts for t in set(toxicity.terms(text)))
+
+    def unit(text):
+        weights = {t: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in Counter(toxicity.terms(text)).items()}
+        return {t: w / np.sqrt(sum(v * v for v in weights.values())) for t, w in weights.items()}
+
+    return [unit(t) for t in texts]
+
+
 def test_toxicity_neighbours_are_exact_and_held_out_texts_told_apart(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -277,7 +428,8 @@ def test_toxicity_neighbours_are_exact_and_held_out_texts_told_apart(spark, odd,
         assert list(at) == [b for b in best if full[b] > 0] and np.allclose(cosine, full[at])
     scored = by_id(toxicity.score(docs, index))
     truth = [(scored[r["doc_id"]]["score"] >= 0.5, r["toxic"] == 1) for r in labels.where(crc_bucket(F.col("doc_id"), 5) == 0).collect() if r["doc_id"] in scored]
-    assert sum(a == b for a, b in truth) >= 0.9 * len(truth)
+    assert sum(a for a, b in truth if b) >= 0.6 * sum(b for _, b in truth)  # of the toxic ones
+    assert sum(a for a, b in truth if not b) <= 0.03 * len(truth)
     rows = toxicity.score(odd, index).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows) and toxicity.score(none, index).count() == 0
     assert toxicity.keep(odd, index).count() == odd.count()
@@ -285,26 +437,25 @@ def test_toxicity_neighbours_are_exact_and_held_out_texts_told_apart(spark, odd,
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd, empty).collect())
 
 
-def test_toxicity_cosine_is_over_whole_texts(spark):
+def test_toxicity_cosine_is_normed_over_whole_texts(spark):
     r = random.Random(6)
     common, vile = [f"w{i}" for i in range(60)], [f"vile{i}" for i in range(8)]
     texts = [" ".join(r.choices(common, k=12) + r.choices(vile, k=4) * (i % 2)) for i in range(40)]
-    texts += ["vile1 " + " ".join(r.choices([f"else{i}" for i in range(300)], k=900)), "vile1 vile1 elsewhere", "nothing of this"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     index = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int"), F.lit(True))
-    df = Counter(t for text in texts for t in set(text.split()))
-    def unit(text):
-        weights = {t: (1 + np.log(n)) * (np.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in Counter(text.split()).items()}
-        return {t: w / np.sqrt(sum(v * v for v in weights.values())) for t, w in weights.items()}
-
-    units = [unit(t) for t in texts]
-    cosine = lambda a, b: sum(w * units[b].get(t, 0) for t, w in units[a].items())
+    told = {t for t, i in index.vocabulary.items() if index.row[i] >= 0}
+    assert told and all(t.startswith(b"vile") for t in told)
+    units = weighed([t.encode() for t in texts])
+    cosine = lambda a, b: sum(w * units[b].get(t, 0) for t, w in units[a].items() if t in told)
     got = by_id(toxicity.score(docs, index))
     for i in range(len(texts)):
-        wanted = sorted((c for c in (cosine(i, j) for j in range(40)) if c > 1e-9), reverse=True)[: toxicity.NEIGHBOURS]
-        assert np.allclose([e["cosine"] for e in got[i]["evidence"]], wanted)
+        place = {n: k for k, n in enumerate(index.ids)}
+        wanted = sorted(((-round(cosine(i, j), 12), place[j]) for j in range(40) if cosine(i, j) > 0))[: toxicity.NEIGHBOURS]
+        assert np.allclose([e["cosine"] for e in got[i]["evidence"]], [-c for c, _ in wanted])
         assert all(np.isclose(e["cosine"], cosine(i, e["id"])) for e in got[i]["evidence"])
-    assert 0 < got[40]["evidence"][0]["cosine"] < 0.2
+    longer = min(told).decode() + " " + " ".join(f"else{i}" for i in range(300))  # one such word in a long text has only far neighbours
+    far = toxicity.score(spark.createDataFrame([(1, longer)], "doc_id bigint, text string"), index).first()["evidence"]
+    assert 0 < far[0]["cosine"] < 0.1
     assert sorted(r["doc_id"] for r in toxicity.keep(docs, index).collect()) == [i for i in sorted(got) if got[i]["score"] < 0.5]
 
 
@@ -322,6 +473,55 @@ def test_language_on_held_out_texts(spark, odd, none):
     assert np.allclose(scorer.pooled(windows), slow, atol=1e-4)
 
 
+def test_token_query_as_the_library(spark, sf):
+    docs = table(spark, sf, "documents").collect()
+    wanted = dict(zip([r["doc_id"] for r in docs], library_counts([r["text"] for r in docs]), strict=True))
+    got = by_id(queries.op2_token_count(spark, sf))
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs}
+    assert {i: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for i, r in got.items()} == {i: (len(texts[i]), n, n > 1024) for i, n in wanted.items()}
+
+
+def test_piece_query_as_the_library(spark, sf):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(queries.PIECES))
+    got = by_id(queries.op8_piece_codec(spark, sf))
+    for r in table(spark, sf, "documents").collect():
+        assert (got[r["doc_id"]]["n_tokens"], got[r["doc_id"]]["ids_sha256"]) == (len(ids := library.encode(r["text"] or "")), hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest())
+
+
+def folds_of(got, buckets, out):
+    import zlib
+
+    return all(r["held_out"] == (zlib.crc32(str(i).encode()) % buckets == out) for i, r in got.items())
+
+
+def test_toxicity_query_columns(spark, sf):
+    docs = table(spark, sf, "documents")
+    index = toxicity.train(docs, table(spark, sf, "labels"), crc_bucket(F.col("doc_id"), 5) != 0)
+    got = by_id(queries.op6_toxicity(spark, sf))
+    assert folds_of(got, 5, 0) and len(got) == docs.count()
+    for r in docs.collect():
+        wanted = toxicity.verdicts(index, [(r["text"] or "").encode()])[0][0]
+        assert np.isclose(got[r["doc_id"]]["score"], wanted) and got[r["doc_id"]]["predicted"] == int(wanted >= 0.5)
+
+
+def test_language_query_columns(spark, sf):
+    docs = table(spark, sf, "documents")
+    got = by_id(queries.op10_language_id(spark, sf))
+    langs = {r["lang"] for r in docs.select("lang").distinct().collect()}
+    assert folds_of(got, 3, 1) and len(got) == docs.count()
+    assert all(r["lang_pred"] in langs | {"und"} and 0 <= r["score"] <= 1 for r in got.values())
+    held = [(r["lang"], got[r["doc_id"]]["lang_pred"]) for r in docs.collect() if got[r["doc_id"]]["held_out"] and r["lang"]]
+    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+
+
+def test_every_language_is_learnt_however_many(spark):
+    rows = [(100 * k + i, f"l{k:03d}", " ".join(chr(0x4E00 + 40 * k + (i * j) % 7) for j in range(30))) for k in range(70) for i in range(3)]
+    scorer = language_id.train(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), F.lit(True))
+    assert len(scorer.network.languages) == 70
+
+
 # chat formatting
 
 
@@ -365,10 +565,38 @@ def test_threshold_search_with_ties_and_large_values():
         ids = np.sort(r.choice(1000, 200, replace=False))
         asked = np.concatenate([points[:5], np.zeros((1, 6), dtype=np.int64)])
         own = np.append(ids[:5], -1)
-        q, v, s = topk.threshold_search(points, ids, asked, own, 20)
-        for query, name in zip(asked, own, strict=True):
-            full = sorted((-int(p @ query), int(i)) for p, i in zip(points, ids, strict=True) if i != name)[:20]
-            assert sorted(zip((-s[q == name]).tolist(), v[q == name].tolist(), strict=True)) == full
+        scored = []
+        q, v, s = topk.threshold_search(points, ids, asked, own, 20, scored=scored)
+        assert len(scored) == len(asked) and max(scored) <= 200
+        for row, (query, name) in enumerate(zip(asked, own, strict=True)):
+            assert [(-a, b) for a, b in zip(s[q == row].tolist(), v[q == row].tolist(), strict=True)] == plain_top(points, ids, query, name)
+
+
+def plain_top(points, ids, query, name, k=20):
+    inner = lambda p: sum(int(a) * int(b) for a, b in zip(p, query, strict=True))
+    return sorted((-inner(p), int(i)) for p, i in zip(points, ids, strict=True) if i != name)[:k]
+
+
+@pytest.mark.parametrize("scale", [2**30, 2**31, 2**40])
+def test_threshold_search_is_exact_where_floats_are_not(scale):
+    """64 dimensions; products beyond 2**53, and beyond a long, rank as they are; scores beyond a long become the nearest."""
+    r = np.random.default_rng(scale)
+    points = r.integers(scale - 3, scale + 1, (60, 64)) * r.choice([-1, 1], (60, 64))
+    points[10] = points[11]
+    points[12:20] = np.abs(points[12:20])
+    asked, ids = np.abs(points[:3]), np.arange(60)
+    q, v, s = topk.threshold_search(points, ids, asked, ids[:3], 20)
+    for row in range(3):
+        wanted = plain_top(points, ids, asked[row], row)
+        assert v[q == row].tolist() == [i for _, i in wanted]
+        assert s[q == row].tolist() == [min(max(-a, -(2**63)), 2**63 - 1) for a, _ in wanted]
+
+
+def test_threshold_search_stops_where_lists_are_steep():
+    r = np.random.default_rng(5)
+    points, scored = (r.pareto(1.0, (4000, 4)) * 100).astype(np.int64), []
+    topk.threshold_search(points, np.arange(4000), points[:20], np.arange(20), 5, scored=scored)
+    assert max(scored) < 2000
 
 
 def test_top_k_odd_rows(spark):
@@ -376,7 +604,10 @@ def test_top_k_odd_rows(spark):
     rows = [(0, [1.0, 0.5]), (20, [0.5, -1.0]), (1, [2.0, 1.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, [1.0]), (None, [1.0, 1.0]), (1, [2.0, 1.0]), (7, [])]
     vectors = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id bigint, embedding array<double>, v string, width int")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(vectors).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 10240), (0, 2, 20, 0), (20, 1, 0, 0), (20, 2, 1, 0)]
+    assert got == [(0, 1, 1, 10240), (0, 2, 1, 10240), (0, 3, 20, 0), (20, 1, 0, 0), (20, 2, 1, 0), (20, 3, 1, 0)]
+    hollow = spark.createDataFrame([(0, []), (1, []), (20, [1.0]), (40, [1.0]), (40, [1.0]), (40, [2.0])], "vec_id bigint, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(hollow).collect())
+    assert got == [(0, 1, 1, 0), (20, 1, 40, 8192), (20, 2, 40, 4096), (20, 3, 40, 4096), (40, 1, 20, 4096), (40, 1, 20, 8192)]
     assert topk.top_k(vectors.limit(0)).count() == 0
     few = topk.top_k(table(spark, "/root/testdata/sf0.001", "embeddings"), block=100)
     whole = topk.top_k(table(spark, "/root/testdata/sf0.001", "embeddings"))

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from corpusloom.llm import ngram_join, packing, quality, secret_scan, toxicity
+from corpusloom.llm import quality, toxicity
 from corpusloom.llm.common import table
 from pyspark.sql import functions as F
 
@@ -16,10 +16,7 @@ def test_stages_against_plain_python(spark, sf):
     assert kept.columns == columns and {r["doc_id"] for r in kept.collect()} == left
 
     index = toxicity.train(kept, labels, F.lit(True))
-    vote = lambda text: index.vote(*index.nearest(*index.vector(toxicity.terms(text.encode()))))
-    import numpy as np
-
-    left = {i for i in left if index.score(np.array([vote(rows[i]["text"])]))[0] < 0.5}
+    left = {i for i in left if toxicity.verdicts(index, [rows[i]["text"].encode()])[0][0] < 0.5}
     kept = corpus_pipeline.toxic_texts(spark, kept, sf)
     assert kept.columns == columns and {r["doc_id"] for r in kept.collect()} == left
 
@@ -36,12 +33,54 @@ def test_stages_against_plain_python(spark, sf):
         assert not spans_of(r["text"]) and r["n_chars"] == len(r["text"])
         assert (r["text"] == rows[r["doc_id"]]["text"]) == (not spans_of(rows[r["doc_id"]]["text"]))
 
-    packed = corpus_pipeline.packed(spark, clean, sf).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
-    assert {r["doc_id"]: r["n"] for r in packed} == {r["doc_id"]: len(r["text"].encode().split()) for r in clean.collect()}
-    assert secret_scan.RULES and packing.CAPACITY and ngram_join.ALL_PAIRS
+    from corpusloom.llm import packing
+
+    from .test_operators import cluster_of, library_counts, plain_best_fit, without_number
+
+    texts = [(r["doc_id"], r["source"], r["text"]) for r in clean.collect()]
+    wanted = plain_best_fit([(i, source, cluster_of(t), n) for (i, source, t), n in zip(texts, library_counts([t for _, _, t in texts]), strict=True)], packing.CAPACITY)
+    for found in (corpus_pipeline.packed(spark, clean, sf), corpus_pipeline.run(spark, sf)):
+        rows = [(r["doc_id"], r["piece"], r["begin"], r["length"], r["bin"], r["offset"]) for r in found.collect()]
+        assert without_number(rows) == without_number(wanted)
 
 
-def test_run_is_its_stages(spark, sf):
-    whole = corpus_pipeline.run(spark, sf)
-    assert whole.columns[0] == "doc_id" and whole.count() > 0
+def test_stages_are_these():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "ngram_join", "secret_scan", "best_fit_packing"]
+
+
+PROSE = "the quick brown fox jumps over the lazy dog while seven wizards quietly brew a strong potion for their old friends in town"
+
+
+def odd_documents(spark):
+    rows = [
+        (1, PROSE, "en", "a", 9, "x"), (2, PROSE, "en", "a", 9, "x"), (2, PROSE, "en", "a", 9, "y"), (None, PROSE, "en", None, None, "x"),
+        (3, None, None, None, None, None), (4, "", "en", "b", 0, "x"), (5, f"{PROSE} token = 'abcdefgh1234'", "en", "b", 9, "x"),
+        (6, "word " * 20_000 + PROSE, "en", "c", 9, "x"), (7, "other words " + " ".join(f"w{i}" for i in range(60)), "en", "c", 9, "x"),
+        (5, "one more text of the same id " + " ".join(f"v{i}" for i in range(60)), "en", "b", 9, "x"),
+    ]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, blob string")
+
+
+def test_stages_on_odd_rows(spark, sf):
+    docs = odd_documents(spark)
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert function(spark, docs.limit(0), sf).count() == 0
+    kept = corpus_pipeline.quality_rules(spark, docs, sf).collect()
+    assert not [r for r in kept if r["doc_id"] in (3, 4)] and sum(r["doc_id"] == 2 for r in kept) == 2
+    assert corpus_pipeline.toxic_texts(spark, docs, sf).count() == docs.count()
+    left = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    assert sorted((r["doc_id"] for r in left if r["doc_id"] is not None)) == [1, 3, 4, 5, 6, 7] and sum(r["doc_id"] is None for r in left) == 1
+    clean = corpus_pipeline.secrets(spark, docs, sf).collect()
+    assert len(clean) == docs.count() and [r["text"] for r in clean if r["doc_id"] == 3] == [None]
+    assert [r["text"].endswith("[assign]'") for r in clean if r["doc_id"] == 5 and "fox" in r["text"]] == [True]
+    assert corpus_pipeline.packed(spark, docs, sf).select("doc_id").distinct().count() == 8
+    assert corpus_pipeline.packed(spark, docs.limit(0), sf).count() == 0
+
+
+def test_near_duplicates_go_by_id_and_text(spark, sf):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    docs = spark.createDataFrame([(3, b, 1), (5, a, 1), (5, b, 1), (6, a, 2), (6, a, 1), (5, a, 0)], "doc_id bigint, text string, more int")
+    left = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    assert sorted((r["doc_id"], r["text"] == a, r["more"]) for r in left) == [(3, False, 1), (5, True, 0)]
