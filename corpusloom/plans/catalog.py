@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return put
 
 
-from . import claims, collections, graphs, queue, relations, retrieval, streams  # noqa: E402, F401
+from . import claims, collections, graphs, knowledge, queue, relations, retrieval, streams  # noqa: E402, F401
