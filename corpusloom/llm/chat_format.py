@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import in_batches, quoted
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -121,7 +121,7 @@ def format_conversations(rows: DataFrame, template: Template = chatml, id_col: s
     talks = talks.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     kind = talks.schema["conv_id"].dataType.simpleString()
     span = "array<struct<start: bigint, end: bigint>>"
-    return talks.mapInArrow(run, f"conv_id {kind}, output string, turns {span}, loss {span}, rewritten bigint")
+    return talks.transform(in_batches).mapInArrow(run, f"conv_id {kind}, output string, turns {span}, loss {span}, rewritten bigint")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -142,4 +142,4 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.select("conv_id", "output", "turns", "loss").mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return formatted.select("conv_id", "output", "turns", "loss").transform(in_batches).mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

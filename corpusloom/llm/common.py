@@ -48,6 +48,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch of rows on its way to Python, so that long texts fill no worker.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose batches of rows for Python have few bytes, however many rows a batch may have."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def fitted(sample: DataFrame, fit):
     """What fit makes of the whole sample, a table of bounded size, on one executor: plain containers and numpy arrays.
 
@@ -62,7 +72,7 @@ def fitted(sample: DataFrame, fit):
     def run(batches):
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(list(batches), kinds)))], pa.binary())], names=["model"])
 
-    found = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    found = sample.coalesce(1).transform(in_batches).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit(pa.Table.from_batches([], kinds))
 
 
@@ -95,4 +105,4 @@ def keep_rows(docs: DataFrame, text_col: str, kept, step: int = 1000) -> DataFra
                 part = batch.slice(start, step)
                 yield part.filter(pa.array(kept([(x.as_py() or "").encode() for x in part.column(at)])))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.transform(in_batches).mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fitted, quoted
+from .common import fitted, in_batches, quoted
 
 WINDOW, FILTERS, EMBEDDING, WIDTHS = 256, 12, 8, (2, 3, 4)
 UNKNOWN = "und"
@@ -203,4 +203,4 @@ def identify(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(named, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.transform(in_batches).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

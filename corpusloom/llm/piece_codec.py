@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, worker_cache
+from .common import in_batches, quoted, worker_cache
 
 SPACE = "▁"
 #: Kinds of pieces and models in the published model format.
@@ -383,7 +383,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
     rows = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return rows.transform(in_batches).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -401,7 +401,7 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
 
     known = F.filter(F.coalesce(quoted(ids_col), F.array().cast("array<int>")), lambda i: (i >= 0) & (i < F.lit(len(loaded(model).pieces))))
     rows = encoded.select(quoted(id_col).alias("doc_id"), known.cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.transform(in_batches).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def digests(encoded: DataFrame, model: str) -> DataFrame:
@@ -420,4 +420,4 @@ def digests(encoded: DataFrame, model: str) -> DataFrame:
                 own = [sha(raw[4 * a : 4 * b]) for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(own, pa.string()), pa.array(map(sha, texts), pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").transform(in_batches).mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, worker_cache
+from .common import in_batches, quoted, worker_cache
 
 #: Fixed value: the published pattern that splits texts before the merges. White space is Unicode's White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -181,4 +181,4 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     rows = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+    return rows.transform(in_batches).mapInArrow(count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, keep_rows, quoted, stage
+from .common import fitted, in_batches, keep_rows, quoted, stage
 
 BLOCK, NEIGHBOURS, EASE = 64, 15, 0.05
 #: Chance that any term at all without bearing on the label passes as telling.
@@ -238,7 +238,7 @@ def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(df[there])], names=["number", "df"])
 
     text = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    found = text.mapInArrow(count, "number bigint, df bigint").groupBy("number").agg(F.sum("df").alias("df")).toArrow()
+    found = text.transform(in_batches).mapInArrow(count, "number bigint, df bigint").groupBy("number").agg(F.sum("df").alias("df")).toArrow()
     out = np.zeros(len(vocabulary), dtype=np.int64)
     out[found["number"].to_numpy()] = found["df"].to_numpy()
     return out
@@ -267,7 +267,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
             evidence = [[{"id": index.ids[a], "label": int(index.labels[a]), "cosine": c} for a, c in zip(at.tolist(), cosine.tolist(), strict=True)] for at, cosine in near]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<id: bigint, label: int, cosine: double>>")
+    return rows.transform(in_batches).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, evidence array<struct<id: bigint, label: int, cosine: double>>")
 
 
 def keep(docs: DataFrame, index: Index, below: float = 0.5, text_col: str = "text") -> DataFrame:
