@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.identity import NUL, hash_offset
+from ..sources.stages import cut
 
 #: Constants of the ranking function.
 K1, B = 1.2, 0.75
@@ -103,14 +104,15 @@ def circular_start(seed: str, corpus: str, n: Column) -> Column:
 def numbered(docs: DataFrame, order: list[str]) -> DataFrame:
     """docs with rn, 0-based by order, without gathering all rows in one task.
 
-    Rows are range-partitioned by order; counts of partitions are few and give each its start.
+    Rows are range-partitioned by order and written, so that both readings see the same partitions; counts of partitions
+    are few and give each its start.
     """
-    parts = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    parts = cut(docs.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     own = Window.partitionBy("part").orderBy(*order)
-    parts = parts.withColumn("own", F.row_number().over(own) - 1)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))).select("part", "start")
-    return parts.join(F.broadcast(starts), "part").withColumn("rn", F.col("start") + F.col("own")).drop("part", "own", "start")
+    placed = parts.withColumn("own", F.row_number().over(own) - 1)
+    return placed.join(F.broadcast(starts), "part").withColumn("rn", F.col("start") + F.col("own")).drop("part", "own", "start")  # a row a partition
 
 
 def draw(docs: DataFrame, order: list[str], seed: str, corpus: str, excluded: DataFrame | None = None, id_col: str = "id", limit: int = 1) -> DataFrame:
@@ -125,7 +127,7 @@ def draw(docs: DataFrame, order: list[str], seed: str, corpus: str, excluded: Da
 
 def draw_batch(docs: DataFrame, order: list[str], seed: str, corpus: str, excluded: DataFrame, id_col: str, limit: int) -> list:
     """limit draws, each from its own start `seed:i`, none twice; every draw is one top-1 query over numbered rows."""
-    rows = numbered(docs, order).join(excluded.select(id_col).distinct(), id_col, "left_anti")
+    rows = cut(numbered(docs, order).join(excluded.select(id_col).distinct(), id_col, "left_anti").select(id_col, "rn"))
     n = docs.count()
     chosen: list = []
     for i in range(limit):

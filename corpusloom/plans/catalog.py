@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return put
 
 
-from . import claims, collections, graphs, knowledge, ledger, queue, relations, retrieval, selection, streams  # noqa: E402, F401
+from . import claims, collections, graphs, knowledge, ledger, queue, records, relations, retrieval, selection, streams  # noqa: E402, F401

@@ -49,19 +49,11 @@ def edge_authority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT owner, assertion_id, status FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS owner, o_orderkey AS assertion_id, 'accepted' AS status FROM orders WHERE o_orderkey < 300)),
-    d AS (SELECT o_orderkey AS assertion_id FROM orders WHERE o_orderkey BETWEEN 200 AND 400 AND o_orderstatus = 'F')
-    SELECT * FROM c WHERE owner <> 'a' UNION ALL SELECT owner, assertion_id, 'retired' FROM c WHERE owner = 'a' AND assertion_id NOT IN (SELECT assertion_id FROM d)
+    WITH c AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS owner, o_orderkey AS assertion_id FROM orders),
+    d AS (SELECT o_orderkey AS assertion_id FROM orders WHERE o_orderstatus <> 'O' AND o_orderpriority <> '5-LOW')
+    SELECT owner, assertion_id, 'accepted' AS status FROM c WHERE owner <> 'a' UNION ALL SELECT owner, assertion_id, 'retired' FROM c WHERE owner = 'a' AND assertion_id NOT IN (FROM d)
     UNION ALL SELECT 'a', assertion_id, 'accepted' FROM d""")
 def owner_scope_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    current = orders.where("o_orderkey < 300").select(F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("owner"), F.col("o_orderkey").alias("assertion_id"), F.lit("accepted").alias("status"))
-    desired = orders.where("o_orderkey between 200 and 400 and o_orderstatus = 'F'").select(F.col("o_orderkey").alias("assertion_id"))
-    return A.replace_scope(current, desired, "a")
-
-
-@query()
-def owner_scope_replace_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order is a current claim, by its status; owner a now wants those not open and not of low priority."""
     orders = table(spark, sf_dir, "orders")
     current = orders.select(F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("owner"), F.col("o_orderkey").alias("assertion_id"), F.lit("accepted").alias("status"))

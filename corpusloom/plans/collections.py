@@ -24,7 +24,7 @@ _SENSITIVE = " OR ".join(f"regexp_matches(t, {_sql(p)})" for p in (r"(?i)(?:^|[^
 @query("SELECT lang FROM documents WHERE lang IS NOT NULL UNION SELECT 'und' FROM pages UNION SELECT role FROM conversations")
 def union_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    return t("documents").where("lang is not null").select("lang").distinct().unionByName(t("pages").limit(1).select(F.lit("und").alias("lang"))).unionByName(t("conversations").select(F.col("role").alias("lang")).distinct()).distinct()
+    return t("documents").where("lang is not null").select("lang").distinct().unionByName(t("pages").select(F.lit("und").alias("lang")).distinct()).unionByName(t("conversations").select(F.col("role").alias("lang")).distinct()).distinct()
 
 
 @query(f"WITH d AS (SELECT doc_id, text AS t FROM documents) SELECT doc_id FROM d WHERE {_SENSITIVE}")
@@ -84,13 +84,13 @@ _CUSTOMERS = "SELECT c_custkey AS id, CASE WHEN c_acctbal > 0 THEN 'accepted' EL
 
 
 @query(f"""
-    WITH RECURSIVE c AS ({_CUSTOMERS}), safe AS (SELECT * FROM c WHERE status = 'accepted'), ref AS (SELECT c_custkey AS id, (c_custkey * 31 + 7) % 1600 AS needs FROM customer WHERE c_custkey % 3 = 0),
+    WITH RECURSIVE c AS ({_CUSTOMERS}), safe AS (SELECT * FROM c WHERE status = 'accepted'), ref AS (SELECT c_custkey AS id, (c_custkey * 31 + 7) % 1600 AS needs FROM customer WHERE c_mktsegment = 'BUILDING'),
     gone AS (SELECT r.id FROM ref r WHERE r.needs NOT IN (SELECT id FROM safe) UNION SELECT r.id FROM ref r JOIN gone g ON r.needs = g.id)
     SELECT 'ent_' || substr(sha256('public-v1' || chr(0) || 'entity' || chr(0) || id), 1, 32) AS public_id, text FROM safe WHERE id NOT IN (SELECT id FROM gone)""")
 def export_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
     entities = customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") > 0, "accepted").otherwise("draft").alias("status"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("text"))
-    references = customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.pmod(F.col("c_custkey") * 31 + 7, F.lit(1600)).alias("needs"))
+    references = customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.pmod(F.col("c_custkey") * 31 + 7, F.lit(1600)).alias("needs"))
     return E.public_entities(entities, references)
 
 

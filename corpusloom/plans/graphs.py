@@ -9,12 +9,7 @@ from ..operators import graph as G
 from ..sources.tables import table
 from .catalog import query
 
-_EDGES = "SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity = 1"
-
-
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_quantity = 1")
-    return items.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
+_EDGES = "SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem"
 
 
 @query(f"""
@@ -22,52 +17,25 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     b AS (SELECT 's1' AS id, 0 AS depth UNION SELECT u.dst, b.depth + 1 FROM b JOIN u ON u.src = b.id WHERE b.depth < 3)
     SELECT id, min(depth) AS depth FROM b GROUP BY id""")
 def bfs_depth_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.neighbourhood(_edges(spark, sf_dir), spark.createDataFrame([("s1",)], "id string"), 3)
-
-
-_SPARSE = "SELECT DISTINCT o_custkey AS src, (o_orderkey * 7919) % 1500 AS dst FROM orders WHERE o_orderkey % 23 = 0"
+    items = table(spark, sf_dir, "lineitem")
+    edges = items.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
+    return G.neighbourhood(edges, spark.createDataFrame([("s1",)], "id string"), 3)
 
 
-@query(f"""
-    WITH RECURSIVE e AS ({_SPARSE}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+@query("""
+    WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
     r AS (SELECT DISTINCT src AS id, src AS reach FROM u UNION SELECT r.id, u.dst FROM r JOIN u ON u.src = r.reach)
     SELECT id, min(reach) AS component FROM r GROUP BY id""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "orders").where("o_orderkey % 23 = 0").select(F.col("o_custkey").alias("src"), F.pmod(F.col("o_orderkey") * 7919, F.lit(1500)).alias("dst")).distinct()
-    loops = edges.select(F.explode(F.array("src", "dst")).alias("id"))
-    return G.components(edges, loops)
+    edges = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst")).distinct()
+    return G.components(edges, edges.select(F.explode(F.array("src", "dst")).alias("id")))
 
 
 @query("""
     WITH RECURSIVE e AS (SELECT conv_id * 1000 + turn AS src, conv_id * 1000 + turn - 1 AS dst FROM conversations WHERE turn > 0),
-    c AS (SELECT conv_id * 1000 + max(turn) AS id FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id UNION SELECT dst FROM c JOIN e ON src = id)
+    c AS (SELECT conv_id * 1000 + max(turn) AS id FROM conversations GROUP BY conv_id UNION SELECT dst FROM c JOIN e ON src = id)
     SELECT id FROM c""")
 def recursive_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    node = F.col("conv_id") * 1000 + F.col("turn")
-    edges = turns.where("turn > 0").select(node.alias("src"), (node - 1).alias("dst"))
-    start = turns.where("conv_id % 3 = 0").groupBy("conv_id").agg(F.max("turn").alias("turn")).select(node.alias("id"))
-    return G.closure(edges, start)
-
-
-@query()
-def bfs_depth_k_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bfs_depth_k over every line item."""
-    items = table(spark, sf_dir, "lineitem")
-    edges = items.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
-    return G.neighbourhood(edges, spark.createDataFrame([("s1",)], "id string"), 3)
-
-
-@query()
-def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of customers and orders over every order; neither end is folded."""
-    edges = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst")).distinct()
-    return G.components(edges, edges.select(F.explode(F.array("src", "dst")).alias("id")))
-
-
-@query()
-def recursive_lineage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """recursive_lineage from the last turn of every conversation."""
     turns = table(spark, sf_dir, "conversations")
     node = F.col("conv_id") * 1000 + F.col("turn")
     edges = turns.where("turn > 0").select(node.alias("src"), (node - 1).alias("dst"))
@@ -90,7 +58,7 @@ def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degrees(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("src"), F.pmod("c_custkey", F.lit(25)).cast("int").alias("dst")))
 
 
-_REFERENCES = "SELECT c_custkey AS id, (c_custkey * 31 + 7) % 1600 AS needs FROM customer WHERE c_custkey % 3 = 0"
+_REFERENCES = "SELECT c_custkey AS id, (c_custkey * 31 + 7) % 1600 AS needs FROM customer WHERE c_mktsegment = 'BUILDING'"
 
 
 @query(f"""
@@ -99,24 +67,41 @@ _REFERENCES = "SELECT c_custkey AS id, (c_custkey * 31 + 7) % 1600 AS needs FROM
     SELECT id FROM ent WHERE id NOT IN (SELECT id FROM gone)""")
 def closure_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
-    references = customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.pmod(F.col("c_custkey") * 31 + 7, F.lit(1600)).alias("needs"))
+    references = customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.pmod(F.col("c_custkey") * 31 + 7, F.lit(1600)).alias("needs"))
     return G.closed_under_references(customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("id")), references)
 
 
 @query("""
-    WITH t AS (SELECT o_orderkey AS id, o_custkey AS target, o_orderkey + 1 AS source FROM orders WHERE o_orderkey % 5 = 0),
+    WITH t AS (SELECT o_orderkey AS id, o_custkey AS target, o_orderkey + 1 AS source FROM orders WHERE o_orderstatus = 'F'),
     tt AS (SELECT key, arg_min(source, id) AS s FROM (SELECT id AS key, id, source FROM t UNION ALL SELECT target, id, source FROM t WHERE target <> id) GROUP BY key),
-    m AS (SELECT p_partkey AS key, min(p_size) AS s FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
-    c AS (SELECT key, arg_min(subject, (subject <> key)::INT * 1000000 + subject) AS s FROM (SELECT l_suppkey AS subject, unnest(list_distinct([l_suppkey, l_partkey, l_orderkey])) AS key FROM lineitem WHERE l_linenumber = 1) GROUP BY key)
+    m AS (SELECT p_partkey AS key, min(p_size) AS s FROM part GROUP BY 1),
+    c AS (SELECT key, arg_min(subject, (subject <> key)::INT * 1000000 + subject) AS s FROM (SELECT l_suppkey AS subject, unnest(list_distinct([l_suppkey, l_partkey, l_orderkey])) AS key FROM lineitem) GROUP BY key)
     SELECT c_custkey AS id, coalesce(tt.s, m.s, c.s, c_custkey)::BIGINT AS subject FROM customer LEFT JOIN tt ON tt.key = c_custkey LEFT JOIN m ON m.key = c_custkey LEFT JOIN c ON c.key = c_custkey""")
 def canonical_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished orders are translations, parts meanings, line items grounded claims."""
     t = lambda n: table(spark, sf_dir, n)
-    translations = t("orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("target"), (F.col("o_orderkey") + 1).alias("source"))
-    meanings = t("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("bigint").alias("term"))
-    claims = t("lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst"))
+    translations = t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("target"), (F.col("o_orderkey") + 1).alias("source"))
+    meanings = t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("bigint").alias("term"))
+    claims = t("lineitem").select(F.col("l_suppkey").alias("subject"), F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst"))
     return G.canonical_subject(t("customer").select(F.col("c_custkey").alias("id")), translations, meanings, claims)
 
 
+@query("SELECT l_linestatus, count(*) FILTER (l_suppkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)) AS dangling, count(*) AS edges FROM lineitem GROUP BY 1")
+def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges whose target no snapshot of nodes has, by status."""
+    nodes = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_suppkey"), F.lit(True).alias("there"))
+    return table(spark, sf_dir, "lineitem").join(nodes, "l_suppkey", "left").groupBy("l_linestatus").agg(F.count_if(F.col("there").isNull()).alias("dangling"), F.count(F.lit(1)).alias("edges"))
+
+
+@query("""
+    WITH e AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linestatus = 'F' AND l_tax > 0.02)
+    SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e WHERE dst <> src) GROUP BY id""")
+def live_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees over accepted, materialized edges alone."""
+    edges = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F' and l_tax > 0.02")
+    return G.degrees(edges.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
+
+
 @query()
 def bounded_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")

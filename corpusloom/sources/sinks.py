@@ -17,17 +17,24 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def swapped_in(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
-    """write() fills a folder beside path, which then takes path's place; a failed write leaves path as it was."""
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    fs, new = _filesystem(spark, beside)
+    """write() fills a folder beside path, which then takes path's place; a failed write or move leaves path as it was."""
+    name = uuid.uuid4().hex
+    fs, new = _filesystem(spark, f"{path.rstrip('/')}.{name}")
+    old, aside = _filesystem(spark, path)[1], _filesystem(spark, f"{path.rstrip('/')}.{name}.old")[1]
     try:
-        write(beside)
-        old = _filesystem(spark, path)[1]
-        fs.delete(old, True)
-        if not fs.rename(new, old):
-            raise OSError(f"could not move {beside} to {path}")
-    finally:
+        write(str(new))
+    except BaseException:
+        fs.delete(new, True)
+        raise
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
         fs.delete(new, True)
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
+        raise OSError(f"could not move {new} to {path}")
+    fs.delete(aside, True)
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
@@ -71,17 +78,27 @@ def build_index(entries: DataFrame, path: str, id_col: str, columns: dict[str, f
     return meta
 
 
-def release(tables: dict[str, tuple[DataFrame, tuple[str, ...]]], path: str, title: str) -> dict:
-    """Write tables (name: frame and sort keys) as JSON Lines with a manifest, SHA256SUMS and a dataset card, in one swap."""
+def file_sums(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(SHA-256, path under folder) of every part file, hashed on executors; parts are written small enough to be read whole."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
+    base = folder.split("://")[-1].split(":", 1)[-1].rstrip("/")
+    rows = files.select(F.sha2("content", 256).alias("sum"), F.substring_index("path", f"{base}/", -1).alias("path")).collect()
+    return sorted(((r["sum"], r["path"]) for r in rows), key=lambda r: r[1])
+
+
+def release(tables: dict[str, tuple[DataFrame, tuple[str, ...]]], path: str, title: str, rows_of_a_part: int = 1_000_000) -> dict:
+    """Write tables (name: frame and sort keys) as JSON Lines with a manifest, SHA256SUMS of all files and a card, in one swap."""
     spark = next(iter(tables.values()))[0].sparkSession
     manifest = {"title": title, "tables": {n: {"rows": df.count(), "logical_sha256": logical_hash(df, *order)} for n, (df, order) in sorted(tables.items())}}
 
     def write(folder: str) -> None:
         for name, (df, order) in tables.items():
-            canonical_json(df, *order).write.text(f"{folder}/{name}")
-        put_text(spark, f"{folder}/manifest.json", json.dumps(manifest, sort_keys=True, indent=1))
-        put_text(spark, f"{folder}/SHA256SUMS", "".join(f"{t['logical_sha256']}  {n}\n" for n, t in manifest["tables"].items()))
-        put_text(spark, f"{folder}/README.md", f"# {title}\n\n" + "".join(f"- {n}: {t['rows']} rows\n" for n, t in manifest["tables"].items()))
+            canonical_json(df, *order).write.option("maxRecordsPerFile", rows_of_a_part).text(f"{folder}/{name}")
+        texts = {"manifest.json": json.dumps(manifest, sort_keys=True, indent=1), "README.md": f"# {title}\n\n" + "".join(f"- {n}: {t['rows']} rows\n" for n, t in manifest["tables"].items())}
+        for name, text in texts.items():
+            put_text(spark, f"{folder}/{name}", text)
+        sums = file_sums(spark, folder) + [(hashlib.sha256(t.encode()).hexdigest(), n) for n, t in sorted(texts.items())]
+        put_text(spark, f"{folder}/SHA256SUMS", "".join(f"{s}  {n}\n" for s, n in sums))
 
     swapped_in(spark, path, write)
     return manifest

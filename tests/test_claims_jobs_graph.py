@@ -122,17 +122,17 @@ def test_whole_graphs_see_every_row(spark, tmp_path):
         for a, b in near + [(b, a) for a, b in near]:
             if a in known:
                 depth.setdefault(b, step)
-    assert dict(rows(graphs.bfs_depth_k_whole(spark, str(tmp_path)), "id", "depth")) == depth
+    assert dict(rows(graphs.bfs_depth_k(spark, str(tmp_path)), "id", "depth")) == depth
     wanted = {n: f"c{c}" for o, c in orders for n in (f"c{c}", f"o{o}")}
-    assert dict(rows(graphs.components_whole(spark, str(tmp_path)), "id", "component")) == wanted
-    assert rows(graphs.recursive_lineage_whole(spark, str(tmp_path)), "id") == sorted((c * 1000 + t,) for c, t in turns)
+    assert dict(rows(graphs.components(spark, str(tmp_path)), "id", "component")) == wanted
+    assert rows(graphs.recursive_lineage(spark, str(tmp_path)), "id") == sorted((c * 1000 + t,) for c, t in turns)
 
 
 def test_owner_scope_sees_every_order(spark, tmp_path):
-    from corpusloom.plans.claims import owner_scope_replace_whole
+    from corpusloom.plans.claims import owner_scope_replace
 
     orders = [(1, "F", "5-LOW"), (2, "F", "1-URGENT"), (250, "O", "1-URGENT"), (999, "P", "2-HIGH"), (5000, "F", "5-LOW"), (5001, "F", "2-HIGH"), (5002, "P", "5-LOW")]
     spark.createDataFrame(orders, "o_orderkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     wanted = [("b", k, "accepted") for k, s, _ in orders if s != "F"] + [("a", k, "retired") for k, s, p in orders if s == "F" and p == "5-LOW"]
     wanted += [("a", k, "accepted") for k, s, p in orders if s != "O" and p != "5-LOW"]
-    assert rows(owner_scope_replace_whole(spark, str(tmp_path)), "owner", "assertion_id", "status") == sorted(wanted)
+    assert rows(owner_scope_replace(spark, str(tmp_path)), "owner", "assertion_id", "status") == sorted(wanted)

@@ -86,7 +86,12 @@ def test_sinks(spark, tmp_path):
     assert [r["line"] for r in sinks.canonical_json(df, "k").collect()] == ['{"k":1,"v":null}', '{"k":2,"v":"b"}']
     manifest = sinks.release({"t": (df, ("k",))}, f"{tmp_path}/out", "Test")
     assert manifest["tables"]["t"]["rows"] == 2
-    assert manifest["tables"]["t"]["logical_sha256"] in open(f"{tmp_path}/out/SHA256SUMS").read()
+    import hashlib
+
+    listed = dict(reversed(line.split("  ")) for line in open(f"{tmp_path}/out/SHA256SUMS").read().splitlines())
+    assert {"manifest.json", "README.md"} < set(listed) and any(n.startswith("t/part-") for n in listed)
+    assert all(hashlib.sha256(open(f"{tmp_path}/out/{name}", "rb").read()).hexdigest() == digest for name, digest in listed.items())
+    assert manifest["tables"]["t"]["rows"] == df.count()
     with pytest.raises(RuntimeError):
         sinks.swapped_in(spark, f"{tmp_path}/out", lambda folder: (_ for _ in ()).throw(RuntimeError("lost")))
     assert os.path.exists(f"{tmp_path}/out/manifest.json")
@@ -97,3 +102,24 @@ def test_index(spark, tmp_path):
     meta = sinks.build_index(docs, f"{tmp_path}/index", "id", {"text": 1.0})
     assert meta["rows"] == 2 and spark.read.parquet(f"{tmp_path}/index/postings").where("term = 'house'").count() == 2
     assert [r["id"] for r in search.bm25(docs, "id", {"text": 1.0}, "bl").collect()] == [2]
+
+
+def test_a_failed_swap_leaves_what_was_there(spark, tmp_path):
+
+    def put(text):
+        return lambda folder: sinks.put_text(spark, f"{folder}/x", text)
+
+    path = f"{tmp_path}/place"
+    sinks.swapped_in(spark, path, put("one"))
+    with pytest.raises(ZeroDivisionError):
+        sinks.swapped_in(spark, path, lambda folder: 1 / 0)
+    assert open(f"{path}/x").read() == "one"
+    sinks.swapped_in(spark, path, put("two"))
+    assert open(f"{path}/x").read() == "two" and [p.name for p in tmp_path.iterdir()] == ["place"]
+
+
+def test_headings_fences_and_links():
+    text = "intro\n## \n #  not one\n# One #\n> ```\n> # code\n# Two\n~~~\n# code\n~~~ x\n[[in code]]\n~~~\n[[a|b]] \\[[c]] [[d]] `[[e]]` <!-- [[f]] -->\n    [[g]]\n> [[h]]\n"
+    got = [(s["heading"], s["line_start"], s["line_end"]) for s in readers.split_sections(text)]
+    assert got == [("(document)", 1, 3), ("One", 4, 6), ("Two", 7, 15)]
+    assert [(p["target"], p["label"]) for p in readers.find_links(text)] == [("a", "b"), ("d", "d"), ("h", "h")]
