@@ -124,22 +124,29 @@ def format_conversations(rows: DataFrame, template: Template = chatml, id_col: s
     return talks.transform(in_batches).mapInArrow(run, f"conv_id {kind}, output string, turns {span}, loss {span}, rewritten bigint")
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from the outputs alone: turns, their hash, and the length and hash of all text under the mask."""
+def digests(formatted: DataFrame, read: Callable[[str], Turn | None] = read_turn, plain: Callable[[str], str] = unescape) -> DataFrame:
+    """What can be read back from the outputs alone: turns, their hash, the length and hash of all text under the mask, and
+    whether the template rewrote history.
+
+    read and plain undo the template's marks and escapes; a span that read can't make out stands for itself, of no role.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for output, spans, loss in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 output = output.as_py()
-                turns = [read_turn(output[s["start"] : s["end"]]) for s in spans.as_py()]
-                masked = "".join(unescape(output[s["start"] : s["end"]]) for s in loss.as_py())
+                chunks = [output[s["start"] : s["end"]] for s in spans.as_py()]
+                turns = [read(chunk) or ("", chunk) for chunk in chunks]
+                masked = "".join(plain(output[s["start"] : s["end"]]) for s in loss.as_py())
                 sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
                 found.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(masked), sha(masked), len(output)))
             columns = list(zip(*found, strict=True)) if found else [[]] * 5
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"]
+            rewrites = pa.array([x.is_valid for x in batch.column(4)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), rewrites], names=names)
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.select("conv_id", "output", "turns", "loss").transform(in_batches).mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    shape = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, rewrites boolean"
+    return formatted.select("conv_id", "output", "turns", "loss", "rewritten").transform(in_batches).mapInArrow(run, shape)

@@ -104,7 +104,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length(er) + length(et) + 24)::BIGINT AS formatted_chars
+       sum(length(er) + length(et) + 24)::BIGINT AS formatted_chars, false AS rewrites
 FROM e GROUP BY conv_id"""
 
 

@@ -554,6 +554,24 @@ def test_chat_odd_rows(spark):
     assert chat_format.digests(chat_format.format_conversations(talks.limit(0))).count() == 0
 
 
+def test_chat_digests_of_any_template(spark):
+    """A template that marks the last turn rewrites history; its spans can't be read as chatml and stand for themselves."""
+
+    def last_marked(turns):
+        return "".join(f"[{'*' if i == len(turns) - 1 else ''}{t}]" for i, (_, t) in enumerate(turns))
+
+    talks = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo")], "conv_id bigint, turn bigint, role string, text string")
+    got = chat_format.digests(chat_format.format_conversations(talks, last_marked)).first()
+    assert (got["n_turns"], got["formatted_chars"], got["rewrites"], got["loss_chars"]) == (2, len("[hi][*yo]"), True, 0)
+    assert not chat_format.digests(chat_format.format_conversations(talks)).first()["rewrites"]
+
+
+def test_chat_of_very_many_turns(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} " * 5) for i in range(400)]
+    got = chat_format.digests(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).first()
+    assert got["n_turns"] == 400 and got["loss_chars"] == sum(len(r[3]) for r in rows if r[2] == "assistant")
+
+
 # top k
 
 
