@@ -7,6 +7,8 @@ Document lengths and average lengths come from the same postings.
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,6 +70,75 @@ def bm25(docs: DataFrame, id_col: str, columns: dict[str, float], query: str, *,
     return scored.select("id", F.round(sum(parts[1:], parts[0]), 6).alias("score"))
 
 
+def terms_of(text: Column) -> Column:
+    """Terms of a folded text in order: words, and for every run of CJK its characters and pairs besides."""
+    runs = F.regexp_extract_all(text, F.lit(T.CJK), F.lit(0))
+    return F.concat(T.words(text), F.flatten(F.transform(runs, T.cjk_terms)))
+
+
+def index_postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """(term, id, field, tf, length): one row per term of a field; length is that of all fields. Accents and case don't count.
+
+    Documents are read and folded once, whatever the number of fields.
+    """
+    folded = docs.select(F.col(id_col).alias("id"), *[T.without_accents(F.coalesce(F.col(c), F.lit(""))).alias(f"t{i}") for i, c in enumerate(columns)])
+    fields = folded.select("id", *[terms_of(F.col(f"t{i}")).alias(c) for i, c in enumerate(columns)])
+    length = sum((F.size(c) for c in columns[1:]), F.size(columns[0]))
+    of = lambda field: F.transform(field, lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
+    each = F.concat(*map(of, columns))
+    rows = fields.select("id", length.alias("length"), F.explode(each).alias("p")).select("id", "length", "p.field", "p.term")
+    return rows.groupBy("term", "id", "field", "length").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "field", "tf", "length")
+
+
+def index_stats(docs: DataFrame, postings_: DataFrame) -> DataFrame:
+    """(n, average): how many documents there are, those without terms too, and their mean length; one row."""
+    total = postings_.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    return docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("average"))
+
+
+def wanted_terms(query: str, most: int = 12) -> list[tuple[str, bool]]:
+    """(term, exact) of a query: its folded words, and for runs of CJK their pairs, or the character if there is one."""
+    folded = "".join(c for c in unicodedata.normalize("NFKD", query).casefold() if not unicodedata.combining(c))
+    out = []
+    for word in re.findall(r"[^\W_]+", folded):
+        if re.fullmatch(T.CJK, word):
+            out += [(f"b{word[i : i + 2]}", True) for i in range(len(word) - 1)] or [(f"u{word}", True)]
+        else:
+            out.append((word, False))
+    return out[:most]
+
+
+def ranked(postings_: DataFrame, stats: DataFrame, weights: dict[str, float], query: str, *, prefix: bool = True, every: bool = False, most: int = 12) -> DataFrame:
+    """(id, score) by bm25()'s formula, from written postings alone: nothing but the query's terms is read.
+
+    Postings are sorted by term, so ranges of terms skip row groups. every: documents must hold all terms of the query.
+    """
+    wanted = wanted_terms(query, most)
+    if not wanted:
+        return postings_.select("id", F.lit(0.0).alias("score")).limit(0)
+    hits = [(F.col("term") == t) if exact or not prefix else F.col("term").startswith(t) for t, exact in wanted]
+    weight = F.lit(0.0)
+    for field, w in weights.items():
+        weight = F.when(F.col("field") == field, F.lit(float(w))).otherwise(weight)
+    rows = postings_.where(reduce(lambda a, b: a | b, hits)).where(F.col("field").isin(*weights))
+    rows = rows.groupBy("id").agg(F.first("length").alias("length"), F.array(*[F.sum(F.when(h, weight * F.col("tf")).otherwise(0.0)) for h in hits]).alias("tf"))
+    counted = rows.agg(*[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(wanted))]).crossJoin(F.broadcast(stats))  # one row
+    rows = rows.where(F.forall("tf", lambda f: f > 0)) if every else rows.where(F.exists("tf", lambda f: f > 0))
+    norm = K1 * (1 - B + B * F.col("length") / F.col("average"))
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        df, tf = F.col(f"df{i}"), F.col("tf")[i]
+        idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - df + 0.5) / (df + 0.5)))
+        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + norm)).otherwise(F.lit(0.0))
+    return rows.crossJoin(F.broadcast(counted)).select("id", F.round(score, 6).alias("score"))
+
+
+def holds_phrases(docs: DataFrame, column: str, query: str) -> DataFrame:
+    """docs whose column holds every CJK run of the query as it stands: what pairs found together may still lack."""
+    runs = re.findall(T.CJK, unicodedata.normalize("NFKC", query))
+    return docs.where(reduce(lambda a, b: a & b, [F.col(column).contains(r) for r in runs], F.lit(True)))
+
+
 def exact_then_ranked(docs: DataFrame, id_col: str, keys: list[str], columns: dict[str, float], query: str, limit: int = 4) -> DataFrame:
     """(id, stage, score, place): rows whose key equals the query first (by key order), then by BM25; each id once."""
     wanted = query.strip().lower()

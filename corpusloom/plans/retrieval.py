@@ -128,3 +128,88 @@ def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_node_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_size").alias("degree"))
     return search.name_search(nodes, "widget", 10).select("id", "label", "points")
+
+
+# from written postings
+
+#: Rows in CJK that stand beside the test table's documents.
+HAN = ((-1, "日本語の本 reaux"), (-2, "日本 本日 語"), (-3, "中国語 réaux"), (-4, "本語日本"))
+_RUNS = "[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]+"
+
+
+def _folded_bm25_sql(rows: str, tokens: list[tuple[str, bool]], columns: dict[str, float], every: bool) -> str:
+    """BM25 as it is defined: terms of accent-free words and of CJK characters and pairs, weighted before saturation."""
+    fold = lambda c: f"replace(lower(strip_accents(coalesce({c}, ''))), 'ß', 'ss')"
+    pairs = lambda c: f"flatten(list_transform(regexp_extract_all({fold(c)}, '{_RUNS}'), lambda r: list_concat(list_transform(range(1, length(r) + 1), lambda i: 'u' || r[i]), list_transform(range(1, length(r)), lambda i: 'b' || r[i:i + 1]))))"
+    words = {c: f"list_concat(regexp_extract_all({fold(c)}, '[\\p{{L}}\\p{{N}}]+'), {pairs(c)})" for c in columns}
+    hit = lambda t, exact: f"lambda w: w = '{t}'" if exact else f"lambda w: starts_with(w, '{t}')"
+    tf = ", ".join("(" + " + ".join(f"{float(w)} * len(list_filter(t_{c}, {hit(*token)}))" for c, w in columns.items()) + f") AS tf{i}" for i, token in enumerate(tokens))
+    k = range(len(tokens))
+    score = " + ".join(f"CASE WHEN tf{i} > 0 THEN greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5))) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len_ / av)) ELSE 0 END" for i in k)
+    wanted = (" AND " if every else " OR ").join(f"tf{i} > 0" for i in k)
+    return f"""
+    WITH w AS (SELECT id, {', '.join(f'{x} AS t_{c}' for c, x in words.items())} FROM ({rows})),
+    f AS (SELECT id, {' + '.join(f'len(t_{c})' for c in columns)} AS len_, {tf} FROM w),
+    g AS (SELECT count(*)::DOUBLE AS n, avg(len_) AS av, {', '.join(f'count(*) FILTER (tf{i} > 0)::DOUBLE AS df{i}' for i in k)} FROM f),
+    s AS (SELECT id, round({score}, 6) AS score FROM f, g WHERE {wanted})"""
+
+
+_DOCUMENTS = "SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in HAN) + ") v"
+
+
+def _with_han(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(spark.createDataFrame(list(HAN), "id bigint, text string"))
+
+
+def _written(spark: SparkSession, docs: DataFrame, columns: dict[str, float]) -> str:
+    from ..sources.sinks import build_index
+    from .records import _folder
+
+    folder = _folder(spark, "index")
+    build_index(docs, folder, "id", columns)
+    return folder
+
+
+@query(_folded_bm25_sql(_DOCUMENTS, [("reaux", False), ("uber", False)], {"text": 1.0}, False) + " SELECT id, score FROM s ORDER BY score DESC, id LIMIT 25")
+def search_written_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accents don't count: réaux and reaux are one term. Scores come from the postings of a written index."""
+    from ..sources.sinks import search_index
+
+    return search_index(spark, _written(spark, _with_han(spark, sf_dir), {"text": 1.0}), "Réaux über").orderBy(F.desc("score"), "id").limit(25)
+
+
+@query(_folded_bm25_sql(_DOCUMENTS, [("b日本", True), ("b本語", True)], {"text": 1.0}, True) + f" SELECT s.id, score FROM s JOIN ({_DOCUMENTS}) d ON d.id = s.id WHERE contains(d.text, '日本語')")
+def search_cjk_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both pairs of a run must be there, and the run as it stands; the pairs alone are in one document more."""
+    from ..sources.sinks import search_index
+
+    folder = _written(spark, _with_han(spark, sf_dir), {"text": 1.0})
+    found = search_index(spark, folder, "日本語", every=True)
+    return found.join(search.holds_phrases(spark.read.parquet(f"{folder}/entries"), "text", "日本語").select("id"), "id", "left_semi")
+
+
+_MORPHOLOGY = "SELECT p_partkey AS id, p_name AS headword, p_type || ' ' || p_brand AS content, p_size AS page FROM part WHERE p_size > 3"
+
+
+@query(_folded_bm25_sql(_MORPHOLOGY, [("ring", False), ("econ", False)], {"headword": 8.0, "content": 1.0}, False) + f" SELECT s.id, score, page FROM s JOIN ({_MORPHOLOGY}) m ON m.id = s.id ORDER BY score DESC, page, s.id LIMIT 30")
+def search_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headwords weigh eight times their content; records that are nothing but an index (small ones) go before the ranking."""
+    from ..sources.sinks import search_index
+
+    rows = table(spark, sf_dir, "part").where("p_size > 3").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("headword"), F.concat_ws(" ", "p_type", "p_brand").alias("content"), F.col("p_size").alias("page"))
+    folder = _written(spark, rows, {"headword": 8.0, "content": 1.0})
+    return search_index(spark, folder, "ring econ").join(spark.read.parquet(f"{folder}/entries").select("id", "page"), "id").orderBy(F.desc("score"), "page", "id").limit(30)
+
+
+_SECTIONS = "SELECT doc_id * 1000000 + place AS id, doc_id AS path, place, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents)"
+
+
+@query(_folded_bm25_sql(_SECTIONS, [("apache", False), ("gnu", False)], {"line": 1.0}, False) + f" SELECT path, place::INT AS place, score FROM s JOIN ({_SECTIONS}) m ON m.id = s.id ORDER BY score DESC, path, place LIMIT 20")
+def search_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines stand for sections; ties go by path and line."""
+    from ..sources.sinks import search_index
+
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("place", "line")).withColumn("place", F.col("place") + 1)
+    folder = _written(spark, rows.withColumn("id", F.col("path") * 1000000 + F.col("place")), {"line": 1.0})
+    found = search_index(spark, folder, "Apache GNU").join(spark.read.parquet(f"{folder}/entries").select("id", "path", "place"), "id")
+    return found.orderBy(F.desc("score"), "path", "place").limit(20).select("path", "place", "score")

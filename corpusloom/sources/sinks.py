@@ -62,22 +62,31 @@ def logical_hash(df: DataFrame, *order: str) -> str:
 
 
 def build_index(entries: DataFrame, path: str, id_col: str, columns: dict[str, float]) -> dict:
-    """Write entries and their postings under path in one swap; returns the metadata, which is written too."""
-    from ..operators.search import postings
+    """Write entries, their postings sorted by term and the totals under path in one swap; returns the metadata, which is written too."""
+    from ..operators.search import index_postings, index_stats
 
     spark = entries.sparkSession
     digest = entries.select(F.sum(F.xxhash64(*[F.col(c).cast("string") for c in sorted(entries.columns)]).cast("decimal(38,0)")).alias("h"), F.count(F.lit(1)).alias("n")).first()
-    meta = {"rows": digest["n"], "content_hash": str(digest["h"]), "columns": columns, "schema_version": 1}
+    meta = {"rows": digest["n"], "content_hash": str(digest["h"]), "columns": columns, "schema_version": 2}
 
     def write(folder: str) -> None:
         entries.write.parquet(f"{folder}/entries")
-        postings(entries, id_col, columns).repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings")
+        index_postings(entries, id_col, list(columns)).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings")
+        index_stats(entries, spark.read.parquet(f"{folder}/postings")).write.parquet(f"{folder}/stats")
         put_text(spark, f"{folder}/metadata.json", json.dumps(meta, sort_keys=True))
 
     swapped_in(spark, path, write)
     return meta
 
 
+def search_index(spark: SparkSession, path: str, query: str, **how) -> DataFrame:
+    """(id, score) of a written index, with the weights it was built for."""
+    from ..operators.search import ranked
+
+    meta = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/metadata.json").collect()))
+    return ranked(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), meta["columns"], query, **how)
+
+
 def file_sums(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     """(SHA-256, path under folder) of every part file, hashed on executors; parts are written small enough to be read whole."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
