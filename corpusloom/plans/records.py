@@ -187,6 +187,16 @@ def morphology_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.morphology(spark, folder)
 
 
+@query("""SELECT CASE WHEN s_acctbal > 5000 THEN 'roots' ELSE 'affixes' END AS corpus, CASE WHEN s_acctbal > 5000 THEN 'morphology-root' ELSE 'morphology-affix' END AS kind, s_suppkey::VARCHAR AS record_id, s_name AS headword FROM supplier""")
+def morphology_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as two corpora by their means, read together."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("headword"), F.array(F.lit("a part")).alias("cells"), F.lit("1").alias("source_page"), "s_acctbal")
+    paths = {"roots": _folder(spark, "roots"), "affixes": _folder(spark, "affixes")}
+    for name, part in (("roots", rows.where("s_acctbal > 5000")), ("affixes", rows.where("not s_acctbal > 5000"))):
+        sinks.canonical_json(part.drop("s_acctbal")).write.text(paths[name])
+    return readers.morphology_corpora(spark, paths).select("corpus", "kind", "record_id", "headword")
+
+
 @query("""SELECT 'tei:' || substr(sha256(lower(p_name) || chr(0) || lower(p_type)), 1, 20) AS entry_id, p_name AS headword, lower(p_name) AS headword_key, p_type AS translation, lower(p_type) AS translation_key FROM (SELECT DISTINCT p_name, p_type FROM part)""")
 def tei_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as TEI entries: names are headwords, types translations; every pair stands there many times."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
+import os
+import sqlite3
 import uuid
 from collections.abc import Callable
 
@@ -111,3 +114,49 @@ def release(tables: dict[str, tuple[DataFrame, tuple[str, ...]]], path: str, tit
 
     swapped_in(spark, path, write)
     return manifest
+
+
+def sqlite_release(tables: dict[str, tuple[DataFrame, str, dict[str, str]]], file: str) -> dict[str, int]:
+    """Write tables (name: frame, key column, {column: table it refers to}) into one SQLite file; returns their rows.
+
+    For releases of bounded size: rows stream through the driver a partition at a time into a file beside `file`, which
+    takes its place only when foreign keys and the file's integrity hold; else what was there stays and ValueError is raised.
+    """
+    beside = f"{file}.{uuid.uuid4().hex}"
+    kinds = {"bigint": "INTEGER", "int": "INTEGER", "smallint": "INTEGER", "tinyint": "INTEGER", "boolean": "INTEGER", "double": "REAL", "float": "REAL", "binary": "BLOB"}
+    name = lambda n: '"' + n.replace('"', '""') + '"'
+    try:
+        with contextlib.closing(sqlite3.connect(beside)) as db:
+            for table, (df, key, references) in tables.items():
+                columns = [f"{name(c)} {kinds.get(t, 'TEXT')}{' PRIMARY KEY' if c == key else ''}" for c, t in df.dtypes]
+                columns += [f"FOREIGN KEY ({name(c)}) REFERENCES {name(other)} ({name(tables[other][1])})" for c, other in references.items()]
+                db.execute(f"CREATE TABLE {name(table)} ({', '.join(columns)})")
+            rows = {}
+            for table, (df, _, _) in tables.items():
+                plain = df.select(*[F.col(c) if t in kinds else F.col(c).cast("string") for c, t in df.dtypes])
+                put = db.executemany(f"INSERT INTO {name(table)} VALUES ({', '.join('?' * len(df.columns))})", (tuple(r) for r in plain.toLocalIterator()))
+                rows[table] = max(0, put.rowcount)
+            db.commit()
+            broken = db.execute("PRAGMA foreign_key_check").fetchall()
+            sound = db.execute("PRAGMA integrity_check").fetchone()[0]
+        if broken or sound != "ok":
+            raise ValueError(f"the release refers to rows that it lacks: {broken[:5]}" if broken else sound)
+        os.replace(beside, file)
+    finally:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(beside)
+    return rows
+
+
+def sqlite_backup(file: str, copy: str) -> None:
+    """A consistent copy of a SQLite file that others may be writing to; it takes its place in one move, once it is sound."""
+    beside = f"{copy}.{uuid.uuid4().hex}"
+    try:
+        with contextlib.closing(sqlite3.connect(f"file:{file}?mode=ro", uri=True)) as source, contextlib.closing(sqlite3.connect(beside)) as target:
+            source.backup(target, pages=1024)
+            if target.execute("PRAGMA quick_check").fetchone()[0] != "ok":
+                raise ValueError(f"{file} is damaged")
+        os.replace(beside, copy)
+    finally:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(beside)

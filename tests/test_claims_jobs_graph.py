@@ -136,3 +136,87 @@ def test_owner_scope_sees_every_order(spark, tmp_path):
     wanted = [("b", k, "accepted") for k, s, _ in orders if s != "F"] + [("a", k, "retired") for k, s, p in orders if s == "F" and p == "5-LOW"]
     wanted += [("a", k, "accepted") for k, s, p in orders if s != "O" and p != "5-LOW"]
     assert rows(owner_scope_replace(spark, str(tmp_path)), "owner", "assertion_id", "status") == sorted(wanted)
+
+
+def plain_walk(subject, claims, depth, nodes, edges, scanned):
+    """A walk in so many words: node by node in the order found, claim by claim in the order of their names."""
+    claims = sorted(claims, key=lambda c: (c[3], c[1], c[2], c[0]))[:scanned]
+    found, order, taken = {subject: 0}, [subject], {}
+    for node in order:
+        for name, a, b, _ in sorted(claims):
+            if len(taken) == edges or found[node] == depth:
+                break
+            far = {a: b, b: a}.get(node)
+            if far is None or name in taken or (far not in found and len(found) == nodes):
+                continue
+            if far not in found:
+                found[far] = found[node] + 1
+                order.append(far)
+            taken[name] = found[far]
+    return taken
+
+
+def test_bounded_subgraph_against_a_plain_walk(spark):
+    import random
+
+    r = random.Random(9)
+    rows, wanted = [], {}
+    for s in range(30):
+        subject, size = f"s{s}", r.choice([3, 10, 60])
+        name = lambda: r.choice([subject, *[f"n{i}" for i in range(size)]])  # noqa: B023, E731
+        claims = {f"c{i:03d}": (f"c{i:03d}", name(), name(), r.choice("ab")) for i in range(r.randint(1, 90))}
+        rows += [(subject, *c) for c in claims.values()]
+        wanted[subject] = plain_walk(subject, list(claims.values()), 3, 12, 20, 50)
+    got = G.subgraph(spark.createDataFrame(rows, "subject string, claim_id string, src string, dst string, relation string"), 3, 12, 20, 50).collect()
+    for subject, taken in wanted.items():
+        assert {g["claim_id"]: g["depth"] for g in got if g["subject"] == subject} == taken
+
+
+def test_greedy_spans_against_a_plain_loop(spark):
+    import random
+
+    from corpusloom.operators import authority as A
+
+    r = random.Random(2)
+    spans = [(f"g{i % 12}", i, a, a + r.randint(1, 5), r.choice([0.1, 0.5, 0.9]), r.choice("xy")) for i in range(300) for a in [r.randint(0, 8)]]
+    wanted = {}
+    for group in {s[0] for s in spans}:
+        kept = []
+        for _, n, a, b, sure, who in sorted((s for s in spans if s[0] == group), key=lambda s: (s[2] - s[3], -s[4], s[5], s[1])):
+            wanted[n] = all((a, b, who) == k or b <= k[0] or k[1] <= a for k in kept)
+            kept += [(a, b, who)] if wanted[n] else []
+    got = A.greedy_spans(spark.createDataFrame(spans, "group string, span_id bigint, start int, end int, confidence double, identity string")).collect()
+    assert {g["span_id"]: g["chosen"] for g in got} == wanted
+
+
+def test_draw_batch_against_a_plain_ring(spark):
+    import hashlib
+
+    from corpusloom.operators import search
+
+    ids = list(range(0, 90, 3))
+    docs = spark.createDataFrame([(i,) for i in ids], "id bigint").repartition(5)
+    for seed, limit in (("a", 1), ("b", 6), ("c", 40)):
+        excluded, drawn = {0, 9, 30}, []
+        for i in range(limit):
+            start = int.from_bytes(hashlib.sha256(f"book\0{seed if limit == 1 else f'{seed}:{i}'}".encode()).digest()[:8]) % len(ids)
+            ring = [x for x in ids[start:] + ids[:start] if x not in excluded and x not in drawn]
+            drawn += ring[:1]
+        assert search.draw_batch(docs, ["id"], seed, "book", spark.createDataFrame([(x,) for x in excluded], "id bigint"), "id", limit) == drawn
+
+
+def test_arguments_and_draws():
+    import pytest
+
+    from corpusloom.operators import policies, selection
+
+    assert selection.validated("  a  b ", "EN", 20, 5) == ("a b", "en", 5)
+    for bad in (("", "en", 20, 5), ("a", "not a tag", 20, 5), ("a", "en", 20, 0), ("a", "en", 20, 21), ("a", "en", 20, True), ("x" * 301, "en", 20, 5)):
+        with pytest.raises(ValueError):
+            selection.validated(*bad)
+    pool, seen = list(range(40)), []
+    draw = lambda out: next((x for x in pool if x not in out), None)
+    assert policies.drawn_until(lambda x: seen.append(x) or x == 3, draw) == 3 and seen == [0, 1, 2, 3]
+    assert policies.drawn_until(lambda x: False, draw) is None
+    with pytest.raises(ValueError):
+        policies.by_policy("nothing", {}, "a")

@@ -123,3 +123,19 @@ def test_headings_fences_and_links():
     got = [(s["heading"], s["line_start"], s["line_end"]) for s in readers.split_sections(text)]
     assert got == [("(document)", 1, 3), ("One", 4, 6), ("Two", 7, 15)]
     assert [(p["target"], p["label"]) for p in readers.find_links(text)] == [("a", "b"), ("d", "d"), ("h", "h")]
+
+
+def test_sqlite_release_and_backup(spark, tmp_path):
+    import sqlite3
+
+    words = spark.createDataFrame([(1, "a"), (2, None)], "id bigint, word string")
+    good = spark.createDataFrame([(10, 1, 0.5), (11, 2, None)], "id bigint, of bigint, score double")
+    file, copy = f"{tmp_path}/r.db", f"{tmp_path}/copy.db"
+    assert sinks.sqlite_release({"word": (words, "id", {}), "part": (good, "id", {"of": "word"})}, file) == {"word": 2, "part": 2}
+    bad = spark.createDataFrame([(12, 9, 0.1)], "id bigint, of bigint, score double")
+    with pytest.raises(ValueError):
+        sinks.sqlite_release({"word": (words, "id", {}), "part": (bad, "id", {"of": "word"})}, file)
+    sinks.sqlite_backup(file, copy)
+    with sqlite3.connect(copy) as db:
+        assert db.execute("SELECT word, score FROM part JOIN word ON word.id = part.of ORDER BY part.id").fetchall() == [("a", 0.5), (None, None)]
+    assert sorted(p.name for p in tmp_path.iterdir() if p.suffix == ".db") == ["copy.db", "r.db"]
