@@ -205,3 +205,23 @@ def language_atoms(graph: Graph, pronunciations: DataFrame) -> DataFrame:
     sounds = pronunciations.withColumn("nth", F.row_number().over(latest)).where("nth = 1").select("subject_id", "language", F.col("sound").alias("pronunciation"), F.col("confidence").alias("heard"))
     terms = language_fields(graph).withColumn("said", F.when(F.col("hops") == 1, F.lit(0.9)).otherwise(F.lit(0.7)))
     return terms.join(sounds, ["subject_id", "language"], "left").select("subject_id", "language", "translation", "pronunciation", F.least("said", F.coalesce("heard", "said")).alias("confidence"))
+
+
+def overview(graph: Graph, entity_evidence: DataFrame, sources: DataFrame, most_collections: int = 64, most_hashes: int = 16, most_languages: int = 128) -> DataFrame:
+    """(collection, evidence_records, hashes, hashes_cut, collections_cut, entities, claims, languages, languages_cut).
+
+    Collections and their records count as far as an accepted entity or a grounded claim rests on them; sources: evidence_id,
+    corpus, hash. Numbers of entities, claims and languages are those of the whole graph.
+    """
+    live = entity_evidence.join(graph.accepted().select("entity_id"), "entity_id", "left_semi").select("evidence_id")
+    claimed = graph.evidence.join(accepted_claims(graph).where("basis <> 'model'").select("claim_id"), "claim_id", "left_semi").select("evidence_id")
+    used = sources.join(live.unionByName(claimed).distinct(), "evidence_id", "left_semi")
+    first = Window.partitionBy("corpus").orderBy("hash")
+    by_hash = used.groupBy("corpus", "hash").agg(F.countDistinct("evidence_id").alias("n")).withColumn("nth", F.row_number().over(first))
+    held = by_hash.groupBy("corpus").agg(F.sum("n").alias("evidence_records"), F.array_sort(F.collect_list(F.when(F.col("nth") <= most_hashes, F.col("hash")))).alias("hashes"), (F.max("nth") > most_hashes).alias("hashes_cut"))
+    shown = held.orderBy("corpus").limit(most_collections + 1).withColumn("place", F.row_number().over(Window.orderBy("corpus")))
+    shown = shown.withColumn("collections_cut", F.max("place").over(Window.partitionBy()) > most_collections).where(F.col("place") <= most_collections)
+    tongues = graph.accepted().where("language is not null").select("language").distinct().orderBy("language").limit(most_languages + 1)
+    tongues = tongues.agg(F.slice(F.array_sort(F.collect_list("language")), 1, most_languages).alias("languages"), (F.count(F.lit(1)) > most_languages).alias("languages_cut"))
+    totals = graph.accepted().agg(F.count(F.lit(1)).alias("entities")).crossJoin(grounded_claims(graph).agg(F.count(F.lit(1)).alias("claims"))).crossJoin(tongues)  # one row each
+    return shown.crossJoin(F.broadcast(totals)).select(F.col("corpus").alias("collection"), "evidence_records", "hashes", "hashes_cut", "collections_cut", "entities", "claims", "languages", "languages_cut")

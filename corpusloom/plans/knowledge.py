@@ -179,3 +179,21 @@ def language_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     language = F.when(F.col("event_id") % 3 == 0, "en").when(F.col("event_id") % 3 == 1, "de").otherwise("und")
     heard = heard.select(F.concat(F.lit("t"), "user_id").alias("subject_id"), language.alias("language"), F.col("props").alias("sound"), F.round(F.col("value") / 100, 4).alias("confidence"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"))
     return K.language_atoms(graph(spark, sf_dir), heard)
+
+
+@query(f"""{GRAPH_SQL},
+    mine AS (SELECT 'e' || (l_orderkey + 2) AS evidence_id FROM lineitem WHERE l_returnflag = 'R' AND 't' || l_partkey IN (FROM ok)),
+    theirs AS (SELECT evidence_id FROM evi WHERE claim_id IN (SELECT claim_id FROM acc WHERE basis <> 'model')),
+    src AS (SELECT 'e' || o_orderkey AS evidence_id, o_orderpriority AS corpus, sha256((o_custkey % 40)::VARCHAR) AS hash FROM orders WHERE o_orderstatus <> 'P'),
+    used AS (SELECT * FROM src WHERE evidence_id IN (SELECT evidence_id FROM mine UNION SELECT evidence_id FROM theirs)),
+    h AS (SELECT corpus, hash, count(DISTINCT evidence_id) AS n, row_number() OVER (PARTITION BY corpus ORDER BY hash) AS nth FROM used GROUP BY 1, 2),
+    c AS (SELECT corpus, sum(n)::BIGINT AS evidence_records, string_agg(hash, ',' ORDER BY hash) FILTER (nth <= 16) AS hashes, max(nth) > 16 AS hashes_cut, row_number() OVER (ORDER BY corpus) AS place FROM h GROUP BY 1)
+    SELECT corpus AS collection, evidence_records, hashes, hashes_cut, (SELECT max(place) FROM c) > 3 AS collections_cut, (SELECT count(*) FROM ok) AS entities, (SELECT count(*) FROM gr) AS claims,
+           (SELECT string_agg(DISTINCT language, ',' ORDER BY language) FROM ent WHERE status = 'accepted') AS languages, false AS languages_cut FROM c WHERE place <= 3""")
+def collection_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir)
+    mine = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("t"), "l_partkey").alias("entity_id"), F.concat(F.lit("e"), (F.col("l_orderkey") + 2).cast("string")).alias("evidence_id"))
+    digest = F.sha2((F.col("o_custkey") % 40).cast("string").cast("binary"), 256)
+    sources = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.concat(F.lit("e"), "o_orderkey").alias("evidence_id"), F.col("o_orderpriority").alias("corpus"), digest.alias("hash"))
+    found = K.overview(g, mine, sources, most_collections=3)
+    return found.withColumns({"hashes": F.array_join("hashes", ","), "languages": F.array_join("languages", ",")})

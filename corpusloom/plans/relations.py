@@ -226,3 +226,27 @@ def self_join_same_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inequality_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.where((F.col("l_extendedprice") != F.round(F.col("l_quantity") * F.col("p_retailprice"), 2)) | (F.col("l_discount") > 0.08)).select("l_orderkey", "l_linenumber")
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(nullif(p_name, ''), nullif(s_name, ''), '') AS label, coalesce(n.n_name, m.n_name) AS place, r_name AS region, c_mktsegment AS segment, o_orderpriority AS priority
+    FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0
+    LEFT JOIN nation n ON n.n_nationkey = c_nationkey LEFT JOIN nation m ON m.n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = coalesce(n.n_regionkey, m.n_regionkey)""")
+def typed_star_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven typed tables around each line item; the first text among them that is not empty names it."""
+    t = lambda n: table(spark, sf_dir, n)
+    nation = lambda key, name: t("nation").select(F.col("n_nationkey").alias(key), F.col("n_name").alias(f"{name}_place"), F.col("n_regionkey").alias(f"{name}_region"))
+    star = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey"), "left").join(t("part"), F.col("p_partkey") == F.col("l_partkey"), "left").join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    star = star.join(t("customer").where("c_acctbal > 0"), F.col("c_custkey") == F.col("o_custkey"), "left").join(nation("c_nationkey", "c"), "c_nationkey", "left").join(nation("s_nationkey", "s"), "s_nationkey", "left")
+    star = star.withColumn("r_regionkey", F.coalesce("c_region", "s_region")).join(t("region"), "r_regionkey", "left")
+    return star.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", R.first_text(F.col("p_name"), F.col("s_name")).alias("label"), F.coalesce("c_place", "s_place").alias("place"), F.col("r_name").alias("region"), F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"))
+
+
+@query("""
+    SELECT o_custkey % 25 AS owner, count(*) AS actions, sum(('0x' || substr(sha256(o_orderkey || chr(31) || o_orderstatus), 1, 15))::HUGEINT)::VARCHAR AS seal FROM orders GROUP BY 1""")
+def scope_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order-free hash of every owner's scope, which changes with any claim in it or its status."""
+    from ..operators.ledger import sealed_plan
+
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).alias("action"), "o_orderkey", "o_orderstatus")
+    return sealed_plan(rows, "o_orderkey", "o_orderstatus").withColumnRenamed("action", "owner")

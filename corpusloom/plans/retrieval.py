@@ -213,3 +213,15 @@ def search_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _written(spark, rows.withColumn("id", F.col("path") * 1000000 + F.col("place")), {"line": 1.0})
     found = search_index(spark, folder, "Apache GNU").join(spark.read.parquet(f"{folder}/entries").select("id", "path", "place"), "id")
     return found.orderBy(F.desc("score"), "path", "place").limit(20).select("path", "place", "score")
+
+
+_WORDS = "SELECT p_partkey AS id, p_name AS headword, p_brand AS display, p_type AS section, p_name || ' in ' || p_type AS body FROM part"
+
+
+@query(_folded_bm25_sql(_WORDS, [("ring", False), ("promo", False)], {"headword": 8.0, "display": 5.0, "section": 1.0, "body": 2.0}, False) + " SELECT id, score FROM s ORDER BY score DESC, id LIMIT 20")
+def search_word_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word entries with their four weighted fields."""
+    from ..sources.sinks import search_index
+
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("headword"), F.col("p_brand").alias("display"), F.col("p_type").alias("section"), F.concat_ws(" in ", "p_name", "p_type").alias("body"))
+    return search_index(spark, _written(spark, rows, {"headword": 8.0, "display": 5.0, "section": 1.0, "body": 2.0}), "ring promo").orderBy(F.desc("score"), "id").limit(20)
