@@ -27,8 +27,8 @@ from .common import in_batches, quoted, stage
 
 #: Classes of a bucket that all meet, probes of a larger one in a round, rounds of probes, spokes verified beside one hub.
 ALL_PAIRS, PROBES, PROBE_ROUNDS, CHUNK = 12, 6, 1, 48
-#: Cells of a table that travel together, links that one union-find takes at a time.
-PART, LINKS = 1 << 16, 1 << 18
+#: Cells of a table that travel together, links that one union-find takes at a time, salts over which a bucket's rows are dealt.
+PART, LINKS, SALTS = 1 << 16, 1 << 18, 16
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -364,10 +364,21 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("component"))
 
 
+def _totalled(rows: DataFrame, **totals) -> DataFrame:
+    """rows (bucket, cls, ...) with a salt by cls and totals over their bucket; a bucket's rows never meet in one task.
+
+    totals: name=(aggregate, how partial ones add up). Partial totals by bucket and salt are few to a bucket; they learn the
+    whole totals and bring them to the rows of their salt.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
+    partial = salted.groupBy("bucket", "salt").agg(*[once.alias(name) for name, (once, _) in totals.items()])
+    whole = partial.groupBy("bucket").agg(*[again(F.col(name)).alias(name) for name, (_, again) in totals.items()])
+    return salted.join(partial.select("bucket", "salt").join(whole, "bucket"), ["bucket", "salt"])
+
+
 def _connected(met: DataFrame, maps: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """components()'s rows for all links. met: buckets()' rows, written. Only classes that may have a partner are read again."""
-    count = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("leader"))
-    counted = met.join(count, "bucket")
+    counted = _totalled(met, n=(F.count(F.lit(1)), F.sum), leader=(F.min(F.struct("cls", "size", "at")), F.min))
     side = lambda df, s, *more: df.select("bucket", *[F.col(c).alias(f"{s}_{c}") for c in ("cls", "size", "at", *more)])
     pair = lambda df: df.where(may_link(percent)).select(F.col("a_cls").alias("hub"), F.col("b_cls").alias("spoke"))
 
@@ -375,22 +386,23 @@ def _connected(met: DataFrame, maps: DataFrame, texts: DataFrame, n: int, percen
         left = stage(possible(pairs, maps, percent), "possible")
         return left.toDF("a", "b") if left.isEmpty() else stage(linked(left, maps, texts, n, percent), "links")
 
-    few = stage(counted.where(F.col("n") <= ALL_PAIRS), "few")
+    few = stage(counted.where(F.col("n") <= ALL_PAIRS).select("bucket", "cls", "size", "at"), "few")
     close = side(few, "a").join(side(few, "b"), "bucket").where(F.col("a_cls") < F.col("b_cls"))
-    large = stage(counted.where(F.col("n") > ALL_PAIRS), "large-buckets")
-    star = side(large.where("cls <> leader"), "b").join(side(large.where("cls = leader"), "a"), "bucket")
+    large = stage(counted.where(F.col("n") > ALL_PAIRS).select("bucket", "cls", "size", "at", "leader"), "large-buckets")
+    star = side(large.where("cls <> leader.cls"), "b", "leader").select("*", *[F.col(f"b_leader.{c}").alias(f"a_{c}") for c in ("cls", "size", "at")])
     tried = stage(pair(close).unionByName(pair(star)).distinct(), "pairs")
     named = components(found(tried))
     for step in range(PROBE_ROUNDS + 1):
         # buckets of one component hold no pair that could still matter
         inside = large.select("bucket", "cls", "size", "at").join(named, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        open_ = inside.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-        large = stage(inside.join(open_.select("bucket", "n"), "bucket"), "large-buckets")
+        open_ = _totalled(inside, low=(F.min("component"), F.min), high=(F.max("component"), F.max), n=(F.count(F.lit(1)), F.sum))
+        large = stage(open_.where("low < high").select("bucket", "salt", "cls", "size", "at", "component", "n"), "large-buckets")
         if large.isEmpty():
             break
         last = step == PROBE_ROUNDS
         probes = large if last else large.where(F.pmod(F.xxhash64("cls", F.lit(step)), F.col("n")) < PROBES)
-        meet = side(large, "b", "component").join(side(probes, "a", "component"), "bucket").where("a_component <> b_component")
+        probes = side(probes, "a", "component").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        meet = side(large, "b", "component", "salt").withColumnRenamed("b_salt", "salt").join(probes, ["bucket", "salt"]).where("a_component <> b_component")
         meet = pair(meet.where("a_cls < b_cls") if last else meet).select(F.least("hub", "spoke").alias("hub"), F.greatest("hub", "spoke").alias("spoke")).distinct()
         fresh = stage(meet.join(tried.select(F.least("hub", "spoke").alias("hub"), F.greatest("hub", "spoke").alias("spoke")), ["hub", "spoke"], "left_anti"), "pairs")
         tried = tried.unionByName(fresh)

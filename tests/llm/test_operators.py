@@ -129,6 +129,17 @@ def test_pieces_as_the_library(spark, odd, none):
     assert {r["doc_id"]: r["text"] for r in piece_codec.decode(broken, path).collect()} == {1: "", 2: "", 3: "�"}
 
 
+def test_one_unbroken_run_is_exact_however_long():
+    import sentencepiece
+
+    r = random.Random(8)
+    run = "".join(r.choice("abcdeé") for _ in range(40_000))
+    path = tokenizer_path(queries.PIECES)
+    ids, _ = piece_codec.PieceCodec(path).encode([run])
+    assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=path).encode(run)
+    assert token_count.ArrayBpe(tokenizer_path(queries.TOKENIZER)).count_texts([run]) == library_counts([run])
+
+
 # n-gram join
 
 
