@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as I
 from ..functions import records as J
+from ..functions import repair as Z
 from ..functions import text as T
 from ..sources import readers, sinks
 from ..sources.stages import shared_folder
@@ -247,3 +248,31 @@ def release_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = spark.read.schema("p_partkey bigint, p_size int").json(f"{folder}/part")
     listed = spark.read.text(f"{folder}/SHA256SUMS").agg(F.count(F.lit(1)).cast("int").alias("files"))  # one row
     return back.agg(F.count(F.lit(1)).alias("rows"), F.sum("p_size").alias("sizes")).crossJoin(F.broadcast(listed))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'signup' THEN NULL WHEN event_type = 'view' THEN '{"evidence_ids":["a","b"],"k":' || user_id || '}' ELSE '{"k":[' || user_id || ']}' END AS value,
+    CASE event_type WHEN 'view' THEN 'evidence-array-repair' WHEN 'click' THEN 'container-repair' WHEN 'error' THEN 'literal-repair' WHEN 'purchase' THEN 'none' END AS how FROM events""")
+def recovered_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with loose lists, open containers, Python literals, reasoning and fences around whole ones, and none at all."""
+    user = F.col("user_id").cast("string")
+    reply = F.when(F.col("event_type") == "view", F.concat(F.lit('Sure: {"evidence_ids": "a", "b", "k": '), user, F.lit("}"))).when(F.col("event_type") == "click", F.concat(F.lit('{"k": ['), user, F.lit(", ")))
+    reply = reply.when(F.col("event_type") == "error", F.concat(F.lit("{'k': ["), user, F.lit(",]}"))).when(F.col("event_type") == "purchase", F.concat(F.lit('<think>{"no": 1}</think>```json\n{"k": ['), user, F.lit("]}\n```"))).otherwise(F.lit('<think> {"k": 1}'))
+    return table(spark, sf_dir, "events").select("event_id", Z.recovered_json(reply).alias("r")).select("event_id", "r.value", "r.how")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size <= 40 THEN '"' || split_part(p_name, ' ', 1) || ',  |' || split_part(p_name, ' ', 2) || '  of|size ' || p_size || '!' END AS parts FROM part""")
+def aligned_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases back on a sentence with marks and gaps; large parts skip a word, which is refused."""
+    a, b, size = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1), F.col("p_size").cast("string")
+    text = F.concat(F.lit('"'), a, F.lit(",  "), b, F.lit("  of"), F.lit("size "), size, F.lit("!"))
+    phrases = F.array(a, F.concat(b, F.when(F.col("p_size") > 40, " no").otherwise(" of")), F.concat(F.lit("size "), size))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(Z.aligned_parts(text, phrases), "|").alias("parts"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'whole' ELSE 'cut' END AS state, true AS fits FROM part""")
+def budgeted_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long prompts are cut to their budget, short ones stay as they are."""
+    prompt = F.concat(F.lit('Facts: {"name": "'), "p_name", F.lit('", "text": "'), F.when(F.col("p_size") > 25, "short").otherwise(F.repeat(F.lit("long text "), 300)), F.lit('"} end'))
+    shown = Z.compacted_prompts(prompt, F.lit(100))
+    rows = table(spark, sf_dir, "part").select("p_partkey", prompt.alias("given"), shown.alias("shown"))
+    return rows.select("p_partkey", F.when(F.col("shown") == F.col("given"), "whole").otherwise("cut").alias("state"), (T.token_estimate(F.col("shown")) <= 100).alias("fits"))
