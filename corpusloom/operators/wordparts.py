@@ -112,7 +112,7 @@ def merged_paths(current: DataFrame, previous: DataFrame, focus: Column) -> Data
     old = previous.select("component_id", F.col("steps").alias("__steps"), F.col("status").alias("__status"))
     has = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     out = current.join(old, "component_id", "left")
-    focused = F.col("component_id") == focus
+    focused = F.coalesce(F.col("component_id") == focus, F.lit(False))
     revised = focused & has(F.col("steps"))
     steps = F.when(revised, F.col("steps")).when(has(F.col("__steps")), F.col("__steps")).otherwise(F.col("steps"))
     status = F.when(has(steps), "history-found").when(~focused, F.coalesce("__status", "status")).otherwise(F.col("status"))
