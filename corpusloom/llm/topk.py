@@ -52,6 +52,9 @@ def threshold_search(candidates: np.ndarray, ids: np.ndarray, queries: np.ndarra
             fresh = np.flatnonzero(met)
             total += len(fresh)
             at, best = np.concatenate([at, fresh]), np.concatenate([best, points[fresh] @ query])
+            if exact is not object and len(best) > k:  # what can't be among the first is not sorted
+                stay = best >= np.partition(best, len(best) - k)[len(best) - k]
+                at, best = at[stay], best[stay]
             first = np.lexsort((at, -best))[:k] if exact is not object else np.array(sorted(range(len(at)), key=lambda i: (-best[i], at[i]))[:k], dtype=np.int64)
             at, best = at[first], best[first]
             if not unseen.any():
