@@ -5,7 +5,7 @@ weight a term has there; a query bounds every block from its own terms, visits b
 when no bound left can reach the k-th neighbour. Neighbours vote by 1 / (distance + EASE); votes of the examples
 themselves, each without itself, calibrate them to scores.
 
-Every text and every example is normed over all its terms. Only terms that tell the labels apart by a test of significance,
+Terms are words and the beginnings of longer ones. Every text and every example is normed over all its terms. Only terms that tell the labels apart by a test of significance,
 as many as pass it, add to a product: over all terms chance words outweigh the telling ones (README has figures). Document
 frequencies of all terms of the examples count all documents; a term that no example has counts as one of none.
 """
@@ -31,8 +31,16 @@ CHANCE = 0.05
 _PARTS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def terms(text: bytes) -> list[bytes]:
-    return text.lower().translate(_PARTS).split()
+#: Bytes of a word's beginning, which is a term too: insults are inflected and compounded.
+STEM = 6
+
+
+def terms(text: bytes) -> Counter:
+    """How often each term stands in a text: its words, and as ^beginning the first STEM bytes of longer ones."""
+    times = Counter(text.lower().translate(_PARTS).split())
+    for word, n in [x for x in times.items() if len(x[0]) > STEM]:
+        times[b"^" + word[:STEM]] += n
+    return times
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +101,8 @@ class Index:
         weights.__dict__.update(state["weights"])
         return cls(**{**state, "weights": weights})
 
-    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, times: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Rows of a text's telling terms and their TF-IDF weights, normed over all terms of the text."""
-        times = Counter(words)
         number = np.fromiter((self.vocabulary.get(t, -1) for t in times), np.int64, len(times))
         weight = (1 + np.log(np.fromiter(times.values(), np.float64, len(times)))) * self.idf[number]
         row = self.row[number]
@@ -176,7 +183,7 @@ def build(texts: list[bytes], labels: np.ndarray, ids: list, vocabulary: list[by
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     counts = np.zeros((2, len(vocabulary)))
     for text, label in zip(texts, labels.tolist(), strict=True):
-        counts[label, [known[t] for t in set(terms(text))]] += 1
+        counts[label, [known[t] for t in terms(text)]] += 1
     told = np.flatnonzero(telling(counts[1], counts[0], n1, n0))
     row = np.full(len(idf), -1)
     row[told] = np.arange(len(told))
@@ -233,7 +240,7 @@ def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray
         df = np.zeros(len(known), dtype=np.int64)
         for batch in batches:
             for x in batch.column(0):
-                df[[known[t] for t in set(terms(x.as_py())) if t in known]] += 1
+                df[[known[t] for t in terms(x.as_py()) if t in known]] += 1
         there = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(df[there])], names=["number", "df"])
 
