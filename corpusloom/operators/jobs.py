@@ -108,3 +108,19 @@ def rotating(subjects: DataFrame, epoch: int, order: str, size: int = 64, stride
     rows = numbered(subjects, [order]).crossJoin(F.broadcast(n))
     step = F.pmod(F.col("rn") - F.pmod(F.lit(epoch * stride), F.col("__n")), F.col("__n"))
     return rows.withColumn("step", step).where(F.col("step") < size).drop("rn", "__n")
+
+
+def cadence(gates: DataFrame, now: Column, hours: Column) -> DataFrame:
+    """(gate, due, next_due_at): gates whose time has come, with the next one, which is written before the work is done."""
+    due = F.col("next_due_at").isNull() | (F.col("next_due_at") <= now)
+    return gates.select("gate", due.alias("due"), F.when(due, now + F.make_interval(hours=hours)).otherwise(F.col("next_due_at")).alias("next_due_at"))
+
+
+def scanned_page(rows: DataFrame, key: str, cursor, limit: int) -> DataFrame:
+    """(key, done): the next rows of a resumable scan, and whether it ends with them; an empty page ends it as well.
+
+    A caller writes the last key as the new cursor, or, once done, when to begin again.
+    """
+    page = rows.select(key) if cursor is None else rows.where(F.col(key) > F.lit(cursor)).select(key)
+    more = page.orderBy(key).limit(limit + 1).withColumn("__n", F.row_number().over(Window.orderBy(key)))
+    return more.withColumn("done", F.max("__n").over(Window.partitionBy()) <= limit).where(F.col("__n") <= limit).drop("__n")

@@ -197,17 +197,24 @@ def draw(docs: DataFrame, order: list[str], seed: str, corpus: str, excluded: Da
 
 
 def draw_batch(docs: DataFrame, order: list[str], seed: str, corpus: str, excluded: DataFrame, id_col: str, limit: int) -> list:
-    """limit draws, each from its own start `seed:i`, none twice; every draw is one top-1 query over numbered rows."""
-    rows = cut(numbered(docs, order).join(excluded.select(id_col).distinct(), id_col, "left_anti").select(id_col, "rn"))
-    n = docs.count()
+    """limit draws, each from its own start `seed:i`, none twice, in one pass over the numbered rows.
+
+    A draw can lose to at most limit - 1 earlier ones, so the first limit rows from each start on decide all; those are
+    limit * limit ids at most, whatever the table's size.
+    """
+    rows = numbered(docs, order).join(excluded.select(id_col).distinct(), id_col, "left_anti").select(id_col, "rn")
+    seeds = [seed if limit == 1 else f"{seed}:{i}" for i in range(limit)]
+    starts = F.posexplode(F.array(*[circular_start(s, corpus, F.greatest("n", F.lit(1))) for s in seeds]))
+    ring = docs.agg(F.count(F.lit(1)).alias("n")).select("n", starts.alias("draw", "start"))  # a row a draw
+    step = F.pmod(F.col("rn") - F.col("start"), F.greatest("n", F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy("draw").orderBy(step))
+    near = rows.crossJoin(F.broadcast(ring)).withColumn("nth", nth).where(F.col("nth") <= limit).select("draw", "nth", id_col).collect()
     chosen: list = []
-    for i in range(limit):
-        start = circular_start(seed if limit == 1 else f"{seed}:{i}", corpus, F.lit(n))
-        left = rows.where(~F.col(id_col).isin(chosen)) if chosen else rows
-        found = left.orderBy(F.pmod(F.col("rn") - start, F.lit(max(1, n)))).select(id_col).first()
+    for draw_ in range(limit):
+        found = next((r[id_col] for r in sorted(near, key=lambda r: (r["draw"], r["nth"])) if r["draw"] == draw_ and r[id_col] not in chosen), None)
         if found is None:
             break
-        chosen.append(found[0])
+        chosen.append(found)
     return chosen
 
 

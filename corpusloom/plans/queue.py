@@ -70,3 +70,29 @@ def backoff_and_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT p_partkey, ((rn - (9 * 17) % n) % n + n) % n AS step FROM d WHERE ((rn - (9 * 17) % n) % n + n) % n < 64""")
 def rotating_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.rotating(table(spark, sf_dir, "part").select("p_partkey"), 9, "p_partkey").select("p_partkey", "step")
+
+
+@query(f"""WITH {_JOBS} SELECT job_id, status, attempts FROM j UNION ALL SELECT DISTINCT conv_id * 1000 + 999, 'queued', 0 FROM conversations WHERE conv_id * 1000 + 999 NOT IN (SELECT job_id FROM j)""")
+def enqueued_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation asks for one more job, each of its turns once; and for its first one, which is there."""
+    jobs, _ = _snapshot(spark, sf_dir)
+    jobs = jobs.select("job_id", "status", "attempts")
+    asked = table(spark, sf_dir, "conversations").select(F.explode(F.array(F.col("conv_id") * 1000 + 999, F.col("conv_id") * 1000)).alias("job_id"), F.lit("queued").alias("status"), F.lit(0).alias("attempts"))
+    return J.enqueued(jobs, asked, "job_id")
+
+
+@query(f"""WITH {_JOBS} SELECT job_id, CASE WHEN job_id IN (0, 5000, 5001) AND status = 'failed' THEN 'queued' ELSE status END AS status, CASE WHEN job_id IN (0, 5000, 5001) AND status = 'failed' THEN 0 ELSE attempts END AS attempts FROM j""")
+def requeued_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs, _ = _snapshot(spark, sf_dir)
+    return J.requeued(jobs, ["0", "5000", "5001"]).select("job_id", "status", "attempts")
+
+
+@query("""SELECT user_id AS gate, max(ts) <= TIMESTAMP '2024-06-01' AS due, CASE WHEN max(ts) <= TIMESTAMP '2024-06-01' THEN TIMESTAMP '2024-06-01' + INTERVAL (user_id % 5) HOUR ELSE max(ts) END AS next_due_at FROM events GROUP BY 1""")
+def cadence_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gates = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("gate")).agg(F.max("ts").alias("next_due_at"))
+    return J.cadence(gates, F.expr("TIMESTAMP_NTZ '2024-06-01'"), (F.col("gate") % 5).cast("int"))
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_orderkey > 700) <= 100 AS done FROM orders WHERE o_orderkey > 700 ORDER BY 1 LIMIT 100")
+def scanned_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.scanned_page(table(spark, sf_dir, "orders"), "o_orderkey", 700, 100)

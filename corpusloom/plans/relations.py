@@ -250,3 +250,39 @@ def scope_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).alias("action"), "o_orderkey", "o_orderstatus")
     return sealed_plan(rows, "o_orderkey", "o_orderstatus").withColumnRenamed("action", "owner")
+
+
+@query("SELECT p_name, p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2")
+def keep_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.keep_first(table(spark, sf_dir, "part"), ["p_name", "p_brand"], ["p_partkey"]).select("p_name", "p_brand", "p_partkey")
+
+
+@query("SELECT c_custkey AS id, 'customer' AS kind FROM customer UNION ALL SELECT DISTINCT o_orderkey, 'order' FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)")
+def insert_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders go in beside customers unless their number is taken; each asks twice."""
+    current = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("kind"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("order").alias("kind"))
+    return R.insert_ignore(current, rows.unionByName(rows), ["id"])
+
+
+@query("""
+    WITH s AS (SELECT l_orderkey, l_linenumber AS a, l_linenumber + (l_quantity::INT % 4) AS b, l_partkey, l_suppkey FROM lineitem)
+    SELECT x.l_orderkey, count(*) AS pairs FROM s x JOIN s y ON x.l_orderkey = y.l_orderkey AND (x.a, x.l_partkey, x.l_suppkey) < (y.a, y.l_partkey, y.l_suppkey) AND x.a < y.b AND y.a < x.b GROUP BY 1""")
+def overlapping_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of an order's spans that share a place; an order has a few lines, so its pairs are few."""
+    spans = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("a"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 4).alias("b"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("k"))
+    other = spans.select("l_orderkey", F.col("a").alias("c"), F.col("b").alias("d"), F.col("k").alias("m"))
+    pairs = spans.join(other, "l_orderkey").where((F.col("k") < F.col("m")) & R.overlaps(F.col("a"), F.col("b"), F.col("c"), F.col("d")))
+    return pairs.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query("""
+    WITH l AS (SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"region":' || CASE WHEN n_regionkey > 2 THEN 'null' ELSE n_regionkey::VARCHAR END || '}' AS line, row_number() OVER (ORDER BY CASE WHEN n_regionkey > 2 THEN NULL ELSE n_regionkey END NULLS FIRST, n_name) AS place FROM nation)
+    SELECT line, place FROM l""")
+def canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in the fixed order of their export, nulls first, as compact JSON with sorted keys."""
+    from ..sources.sinks import canonical_json
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.when(F.col("n_regionkey") <= 2, F.col("n_regionkey")).alias("region"))
+    lines = canonical_json(rows, "region", "n_name")
+    return lines.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("bigint"))  # a row a nation
