@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -81,3 +81,26 @@ def public_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
     ends = kept.select("id").distinct()
     inside = edges.join(ends.select(F.col("id").alias("src")), "src", "left_semi").join(ends.select(F.col("id").alias("dst")), "dst", "left_semi")
     return inside.select(public_id("edge", F.concat_ws(":", "src", "dst")).alias("public_id"), public_id("entity", F.col("src")).alias("source"), public_id("entity", F.col("dst")).alias("target"))
+
+
+def public_tables(entities: DataFrame, references: DataFrame, edges: DataFrame, events: DataFrame, citations: DataFrame, sources: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What goes out, table by table, under public ids: entities, edges between them, their events in order, and citations.
+
+    entities: id, status, text; references: id, needs; edges: src, dst; events: id, created_at, event_id, kind (null where it
+    can't be read); citations: id, locator. Events are numbered before unreadable ones go, so gaps show; locators that give
+    something away become hashes. sources are texts that no entity may share 60 characters with.
+    """
+    from ..functions.records import sanitized_locator
+
+    safe = quarantine(entities).where("reason is null").drop("reason")
+    if sources is not None:
+        safe = safe.join(overlapping(safe.select("id", "text"), sources), "id", "left_anti")
+    kept = closed_under_references(safe, references)
+    entity = lambda c: public_id("entity", F.col(c))
+    order = F.row_number().over(Window.partitionBy("id").orderBy("created_at", "event_id")) - 1
+    numbered = events.withColumn("place", order).where("kind is not null").join(kept, "id", "left_semi")
+    cited = citations.join(kept, "id", "left_semi").select(entity("id").alias("entity"), sanitized_locator(F.col("locator")).alias("locator")).distinct()
+    return {
+        "entities": safe.join(kept, "id", "left_semi").select(entity("id").alias("public_id"), T.bounded(F.col("text")).alias("text")),
+        "edges": public_edges(edges, kept), "events": numbered.select(entity("id").alias("entity"), "place", "kind"), "citations": cited,
+    }

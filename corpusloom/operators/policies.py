@@ -147,3 +147,13 @@ def drawn_until(fit: Callable[[list], object | None], draw: Callable[[list], obj
             return found
         tried.append(found)
     return None
+
+
+def published(drafts: DataFrame, rules: dict[str, Column], *branch: str) -> DataFrame:
+    """(card_id, status, violations): drafts that break no rule are published, of each branch the latest; the others say why not."""
+    from .ledger import supersede_older
+    from .selection import violations
+
+    gated = drafts.withColumn("violations", violations(rules))
+    gated = gated.withColumn("status", F.when(F.size("violations") == 0, "accepted").otherwise("rejected"))
+    return supersede_older(gated, *branch).select("card_id", "status", "violations")

@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return put
 
 
-from . import claims, collections, graphs, knowledge, ledger, policies, queue, records, relations, retrieval, selection, streams, wordparts  # noqa: E402, F401
+from . import claims, collections, graphs, knowledge, ledger, morphemes, policies, queue, records, relations, retrieval, selection, streams, wordparts  # noqa: E402, F401

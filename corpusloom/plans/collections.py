@@ -114,3 +114,33 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, count(DISTINCT lang) AS languages, count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest FROM documents GROUP BY source""")
 def collection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_distinct("lang").alias("languages"), F.count(F.lit(1)).alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
+
+
+_PUBLIC = "'ent_' || substr(sha256('public-v1' || chr(0) || 'entity' || chr(0) || {0}), 1, 32)"
+
+
+@query(f"""
+    WITH RECURSIVE c AS ({_CUSTOMERS}), safe AS (SELECT * FROM c WHERE status = 'accepted'), ref AS (SELECT c_custkey AS id, (c_custkey * 31 + 7) % 1600 AS needs FROM customer WHERE c_mktsegment = 'BUILDING'),
+    gone AS (SELECT r.id FROM ref r WHERE r.needs NOT IN (SELECT id FROM safe) UNION SELECT r.id FROM ref r JOIN gone g ON r.needs = g.id),
+    kept AS (SELECT id FROM safe WHERE id NOT IN (SELECT id FROM gone)),
+    e AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + 1) % 1500 AS dst FROM orders),
+    v AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS place, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS kind FROM orders)
+    SELECT 'entities' AS part, {_PUBLIC.format('id')} AS id, text AS value FROM safe WHERE id IN (FROM kept)
+    UNION ALL SELECT 'edges', {_PUBLIC.format('src')}, {_PUBLIC.format('dst')} FROM e WHERE src IN (FROM kept) AND dst IN (FROM kept)
+    UNION ALL SELECT 'events', {_PUBLIC.format('id')}, place || ':' || kind FROM v WHERE kind IS NOT NULL AND id IN (FROM kept)
+    UNION ALL SELECT DISTINCT 'citations', {_PUBLIC.format('id')}, CASE WHEN id % 2 = 0 THEN 'book/' || id ELSE 'locator_' || substr(sha256('../' || id), 1, 24) END FROM kept""")
+def public_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables of an export together: customers are entities, their orders events, and half their citations name places."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    entities = customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") > 0, "accepted").otherwise("draft").alias("status"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("text"))
+    references = customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.pmod(F.col("c_custkey") * 31 + 7, F.lit(1600)).alias("needs"))
+    edges = orders.select(F.col("o_custkey").alias("src"), F.pmod(F.col("o_custkey") * 7 + 1, F.lit(1500)).alias("dst")).distinct()
+    events = orders.select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("event_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("kind"))
+    locator = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("book/"), F.col("c_custkey").cast("string"))).otherwise(F.concat(F.lit("../"), F.col("c_custkey").cast("string")))
+    tables = E.public_tables(entities, references, edges, events, customer.select(F.col("c_custkey").alias("id"), locator.alias("locator")))
+    rows = {"entities": ("public_id", F.col("text")), "edges": ("source", F.col("target")), "events": ("entity", F.concat_ws(":", "place", "kind")), "citations": ("entity", F.col("locator"))}
+    out = None
+    for name, (key, value) in rows.items():
+        part = tables[name].select(F.lit(name).alias("part"), F.col(key).alias("id"), value.alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -176,3 +176,14 @@ def finalisation_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("page without address", t("pages").where("url is null")),
         ("label out of range", t("labels").where("quality not in (0, 1) or toxic not in (0, 1)")),
     )
+
+
+@query("""
+    WITH d AS (SELECT doc_id AS card_id, coalesce(lang, '') AS mode, coalesce(source, '') AS branch, list_filter([CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' END, CASE WHEN length(text) < 200 THEN 'short' END, CASE WHEN quality = 0 THEN 'poor' END], lambda x: x IS NOT NULL) AS v FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT card_id, CASE WHEN len(v) > 0 THEN 'rejected' WHEN row_number() OVER (PARTITION BY mode, branch, len(v) = 0 ORDER BY card_id DESC) > 1 THEN 'superseded' ELSE 'accepted' END AS status, array_to_string(v, ',') AS violations FROM d""")
+def card_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as drafts: what passes the gate is published, and stands in for older cards of its language and source."""
+    text = F.col("text")
+    drafts = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("doc_id").alias("card_id"), F.col("doc_id").alias("created_at"), F.coalesce("lang", F.lit("")).alias("mode"), F.coalesce("source", F.lit("")).alias("branch"), "text", "quality")
+    rules = {"empty": text.isNull() | (F.trim(text) == ""), "short": F.length(text) < 200, "poor": F.col("quality") == 0}
+    return P.published(drafts, rules, "mode", "branch").withColumn("violations", F.array_join("violations", ","))
