@@ -82,6 +82,56 @@ def build_index(entries: DataFrame, path: str, id_col: str, columns: dict[str, f
     return meta
 
 
+@contextlib.contextmanager
+def locked(spark: SparkSession, path: str):
+    """One builder at a time: a file beside path that only one can create; RuntimeError if another holds it.
+
+    A build that died leaves the file, to be removed by hand once it is sure that it died.
+    """
+    fs, lock = _filesystem(spark, f"{path.rstrip('/')}.lock")
+    try:
+        held = fs.createNewFile(lock)
+    except Exception as e:  # some file systems refuse instead of saying no
+        raise RuntimeError(f"{lock} can't be made") from e
+    if not held:
+        raise RuntimeError(f"another build holds {lock}")
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
+def build_markdown_index(spark: SparkSession, root: str, path: str) -> dict:
+    """Index the sections and links of a tree of notes under path, unless the tree is as it was when last indexed.
+
+    One build at a time; the tree is fingerprinted before and after, and one that changed meanwhile, or whose index does not
+    hold every section, leaves the old index in place and raises ValueError. Returns the metadata.
+    """
+    from . import readers
+
+    with locked(spark, path):
+        files = readers.markdown_files(spark, root)
+        before = readers.tree_fingerprint(files)
+        fs, meta_file = _filesystem(spark, f"{path}/tree.json")
+        if fs.exists(meta_file):
+            known = json.loads("\n".join(r[0] for r in spark.read.text(str(meta_file)).collect()))
+            if known["fingerprint"] == before:
+                return {**known, "built": False}
+        meta = {"fingerprint": before}
+
+        def write(folder: str) -> None:
+            sections = readers.markdown_sections(files)
+            build_index(sections.select("section_id", "path", "line_start", "heading", "excerpt"), f"{folder}/sections", "section_id", {"heading": 1.0, "excerpt": 1.0})
+            readers.wiki_links(sections).write.parquet(f"{folder}/links")
+            meta["sections"] = spark.read.parquet(f"{folder}/sections/entries").count()
+            if meta["sections"] != sections.count() or readers.tree_fingerprint(readers.markdown_files(spark, root)) != before:
+                raise ValueError(f"{root} changed while it was indexed")
+            put_text(spark, f"{folder}/tree.json", json.dumps(meta, sort_keys=True))
+
+        swapped_in(spark, path, write)
+        return {**meta, "built": True}
+
+
 def search_index(spark: SparkSession, path: str, query: str, **how) -> DataFrame:
     """(id, score) of a written index, with the weights it was built for."""
     from ..operators.search import ranked

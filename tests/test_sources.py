@@ -139,3 +139,25 @@ def test_sqlite_release_and_backup(spark, tmp_path):
     with sqlite3.connect(copy) as db:
         assert db.execute("SELECT word, score FROM part JOIN word ON word.id = part.of ORDER BY part.id").fetchall() == [("a", 0.5), (None, None)]
     assert sorted(p.name for p in tmp_path.iterdir() if p.suffix == ".db") == ["copy.db", "r.db"]
+
+
+def test_markdown_index_is_built_once_and_by_one(spark, tmp_path, monkeypatch):
+    write(tmp_path / "notes" / "a.md", "# Alpha\nsome words [[b]]\n# Beta\nother words\n")
+    root, place = f"file://{tmp_path}/notes", f"file://{tmp_path}/index"
+    first = sinks.build_markdown_index(spark, root, place)
+    assert first["built"] and first["sections"] == 2
+    assert not sinks.build_markdown_index(spark, root, place)["built"]
+    found = sinks.search_index(spark, f"{place}/sections", "other beta").collect()
+    assert len(found) == 1
+    with sinks.locked(spark, place), pytest.raises(RuntimeError):
+        sinks.build_markdown_index(spark, root, place)
+    write(tmp_path / "notes" / "b.md", "# Gamma\n")
+    real = readers.tree_fingerprint
+    seen = []
+    monkeypatch.setattr(readers, "tree_fingerprint", lambda files: f"{real(files)}{seen.append(1) or len(seen)}")
+    with pytest.raises(ValueError):
+        sinks.build_markdown_index(spark, root, place)
+    monkeypatch.undo()
+    assert spark.read.parquet(f"{place}/sections/entries").count() == 2
+    assert sinks.build_markdown_index(spark, root, place)["sections"] == 3
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["index", "notes"]
