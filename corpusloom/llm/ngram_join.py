@@ -401,7 +401,8 @@ def _connected(met: DataFrame, maps: DataFrame, texts: DataFrame, n: int, percen
             break
         last = step == PROBE_ROUNDS
         probes = large if last else large.where(F.pmod(F.xxhash64("cls", F.lit(step)), F.col("n")) < PROBES)
-        probes = side(probes, "a", "component").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        # merged, not broadcast: what Spark knows is the size of the file, not of the rows that salts make of it
+        probes = side(probes, "a", "component").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
         meet = side(large, "b", "component", "salt").withColumnRenamed("b_salt", "salt").join(probes, ["bucket", "salt"]).where("a_component <> b_component")
         meet = pair(meet.where("a_cls < b_cls") if last else meet).select(F.least("hub", "spoke").alias("hub"), F.greatest("hub", "spoke").alias("spoke")).distinct()
         fresh = stage(meet.join(tried.select(F.least("hub", "spoke").alias("hub"), F.greatest("hub", "spoke").alias("spoke")), ["hub", "spoke"], "left_anti"), "pairs")
