@@ -309,13 +309,14 @@ def linked(pairs: DataFrame, maps: DataFrame, texts: DataFrame, n: int, percent:
     return found.join(needed, "least").groupBy("hub", "chunk").applyInArrow(verify, "a bigint, b bigint")
 
 
-def numbered(classes: DataFrame) -> DataFrame:
-    """classes with a number cls each: its least id, or, for all but one class of an id with several texts, one beyond 2**62."""
+def numbered(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """classes with a number cls each: its least id, or, for all but one class of an id with several texts, one beyond 2**62;
+    and whether all numbers are least ids."""
     if classes.groupBy("least").count().where("count > 1").isEmpty():
-        return classes.withColumn("cls", F.col("least"))
+        return classes.withColumn("cls", F.col("least")), True
     place = F.row_number().over(Window.partitionBy("least").orderBy("f1", "f2"))
     beyond = F.lit(1 << 62) + F.xxhash64("f1", "f2").bitwiseAND(F.lit((1 << 62) - 1))
-    return stage(classes.withColumn("cls", F.when(place == 1, F.col("least")).otherwise(beyond)), "numbered")
+    return stage(classes.withColumn("cls", F.when(place == 1, F.col("least")).otherwise(beyond)), "numbered"), False
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,12 +428,14 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
         bits = min(25, max(16, math.ceil(math.log2(1 + letters / 6))))
     marked = stage(prefixes(texts, n, percent, frequency_levels(texts, n, bits), bits), "prefixes")
     rows = marked.where("size > 0 and doc_id is not null")
-    classes = numbered(stage(rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("g1", "g2", "size", "parity")]), "classes"))
+    classes, plain = numbered(stage(rows.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("g1", "g2", "size", "parity")]), "classes"))
     met = stage(buckets(rows, classes), "buckets")
     named = _connected(met, classes.select("cls", "least", "f1", "size", "parity"), texts, n, percent)
-    named = classes.select("cls", "least", "f1", "f2").join(named, "cls", "left").withColumn("root", F.coalesce("component", "cls"))
-    lowest = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.drop("component").join(lowest, "root").select("f1", "f2", "component")
+    named = classes.select("cls", "least", "f1", "f2").join(named, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    if not plain:  # a component's least number may stand for an id that isn't its least
+        lowest = stage(named.groupBy("component").agg(F.min("least").alias("lowest")), "lowest")
+        named = named.join(lowest, "component").withColumn("component", F.col("lowest"))
+    named = named.select("f1", "f2", "component")
     out = marked.select("doc_id", "text_hash", "size", "f1", "f2").join(named, ["f1", "f2"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
 
