@@ -107,5 +107,35 @@ def as_of(facts: DataFrame, contexts: DataFrame, keys: list[str], at: str, conte
     return found.select(*facts.columns, *[F.col("__ctx")[c].alias(c) for c in (context_at, *extra)])
 
 
+def nearest_texts(rows: DataFrame, key: str, text: str, size: str, by: list[str], reach: int) -> DataFrame:
+    """(a_key, b_key, distance, gap): for every key the nearest other one of equal `by` whose size is at most reach away.
+
+    Nearest by edit distance of the texts (null last), then by gap of the sizes, then by key; keys with no other are left out.
+    Equal texts are at distance 0, so another row of the same text and size, or else the nearest size of the same text, is the
+    answer; sorting finds both. Only other rows, those without text and those whose key is met twice are compared with their
+    group's distinct (text, size), in an equi-join on bands of sizes.
+    """
+    kind, least, along = [*by, "text", "size"], F.col("least"), Window.partitionBy(*by, "text").orderBy("size")
+    rows = rows.select(F.col(key).alias("a_key"), F.col(text).alias("text"), F.col(size).alias("size"), *by).dropna(subset=["a_key", "size", *by])
+    rows = rows.withColumn("once", F.count(F.lit(1)).over(Window.partitionBy("a_key")) == 1)
+    # the two least keys of each (text, size): all that a row can be answered with
+    two = rows.withColumn("place", F.dense_rank().over(Window.partitionBy(*kind).orderBy("a_key"))).where("place <= 2")
+    kinds = two.groupBy(*kind).agg(F.min("a_key").alias("least"), F.nullif(F.max("a_key"), F.min("a_key")).alias("second"))
+    side = lambda f: F.when(F.abs(F.col("size") - f("size").over(along)) <= reach, F.struct(F.abs(F.col("size") - f("size").over(along)).alias("gap"), f("least").over(along).alias("b_key")))
+    beside = kinds.withColumn("beside", F.least(side(F.lag), side(F.lead)))
+    other = F.when(least == F.col("a_key"), F.col("second")).otherwise(least)
+    copy = F.when(other.isNotNull(), F.struct((F.col("size") - F.col("size")).alias("gap"), other.alias("b_key")))
+    met = rows.join(beside, kind, "left").withColumn("m", F.when(F.col("once"), F.coalesce(copy, F.col("beside"))))
+    found = met.where("m is not null").select("a_key", "m.b_key", F.lit(0).alias("distance"), "m.gap")
+
+    band = F.floor(F.col("size") / max(reach, 1))
+    a = met.where("m is null").select("a_key", F.col("text").alias("a_text"), F.col("size").alias("a_size"), *by, F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    b = kinds.select("least", "second", F.col("text").alias("b_text"), F.col("size").alias("b_size"), *by, band.alias("band"))
+    near = a.join(b, [*by, "band"]).withColumns({"gap": F.abs(F.col("a_size") - F.col("b_size")), "b_key": other}).where((F.col("gap") <= reach) & F.col("b_key").isNotNull())
+    distance = F.levenshtein("a_text", "b_text")
+    best = F.min(F.struct(distance.isNull().alias("none"), distance.alias("distance"), "gap", "b_key"))
+    return found.unionByName(near.groupBy("a_key").agg(best.alias("m")).select("a_key", "m.b_key", "m.distance", "m.gap"))
+
+
 def _struct(df: DataFrame, names: list[str]) -> str:
     return f"struct<{','.join(f'`{n}`:{df.schema[n].dataType.simpleString()}' for n in names)}>"

@@ -59,16 +59,11 @@ _BAND_SIGNATURE = "regexp_replace(regexp_replace(lower(p_type), '[^a-z]', '', 'g
           FROM p a JOIN p b ON a.sig = b.sig AND a.p_brand = b.p_brand AND abs(a.p_size - b.p_size) <= 8 AND a.p_partkey <> b.p_partkey)
     SELECT a_key, b_key, distance::INT AS distance, gap FROM m QUALIFY row_number() OVER (PARTITION BY a_key ORDER BY distance, gap, b_key) = 1""")
 def band_join_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest of the same signature within eight pages: keys and page bands meet in an equi-join, not in a product."""
+    """Nearest of the same signature within eight pages; copies and equal names are found by sorting, the rest meets by key and page band."""
     from ..functions.text import family_signature
 
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_brand", family_signature(F.col("p_type")).alias("sig"))
-    band = F.floor(F.col("p_size") / 8)
-    a = part.select(F.col("p_partkey").alias("a_key"), F.col("p_name").alias("a_name"), F.col("p_size").alias("a_size"), "sig", "p_brand", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    b = part.select(F.col("p_partkey").alias("b_key"), F.col("p_name").alias("b_name"), F.col("p_size").alias("b_size"), "sig", "p_brand", band.alias("band"))
-    near = a.join(b, ["sig", "p_brand", "band"]).where("a_key <> b_key and abs(a_size - b_size) <= 8")
-    best = F.min(F.struct(F.levenshtein("a_name", "b_name").alias("distance"), F.abs(F.col("a_size") - F.col("b_size")).alias("gap"), "b_key"))
-    return near.groupBy("a_key").agg(best.alias("m")).select("a_key", "m.b_key", "m.distance", "m.gap")
+    return R.nearest_texts(part, "p_partkey", "p_name", "p_size", ["sig", "p_brand"], 8)
 
 
 @query("""

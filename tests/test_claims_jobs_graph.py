@@ -106,6 +106,47 @@ def test_relational(spark):
     assert spark.range(1).select(R.overlaps(F.lit(0), F.lit(2), F.lit(2), F.lit(3))).first()[0] is False
 
 
+_PARTS = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int"
+
+
+def band_join(spark, parts, folder):
+    from corpusloom.plans import catalog
+
+    spark.createDataFrame(parts, _PARTS).write.parquet(f"{folder}/part.parquet")
+    return catalog.QUERIES["band_join_levenshtein"](spark, str(folder))
+
+
+def test_band_join_equals_sql_on_odd_rows(spark, tmp_path):
+    """Nulls, equal names at other sizes, copies, sizes below 0 and a key met twice."""
+    import duckdb
+
+    from corpusloom.plans import catalog
+
+    names, kinds = ["ab", "abc", "abd", "xyz", "", None, "ab"], ["SMALL", "PROMOC", None]
+    parts = [(None if i % 41 == 0 else i - i % 2 if i % 29 == 0 else i, names[i % 7], f"b{i % 2}" if i % 23 else None, kinds[(i // 2) % 16 // 7], (i * 37 % 61) - 20 if i % 19 else None) for i in range(1, 240)]
+    parts += [(1000 + i, "ab", "b0", "SMALL", 5) for i in range(4)] + [(2000, None, "alone", "SMALL", 5), (2001, "ab", "alone", "SMALL", 13), (2002, None, "alone", "SMALL", 22)]
+    got = sorted(tuple(r) for r in band_join(spark, parts, tmp_path).select("a_key", "b_key", "distance", "gap").collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    assert [str(r) for r in got] == [str(r) for r in sorted(db.execute(catalog.ORACLES["band_join_levenshtein"]).fetchall())]
+    assert {r[0]: r[1:] for r in got}[2000] == (2001, None, 8)
+
+
+def test_band_join_makes_no_pairs_of_copies(spark, tmp_path):
+    n = 1500
+    df = band_join(spark, [(i, "red bolt", "b", "SMALL", 1 + i % 2) for i in range(n)], tmp_path)
+    assert {r["a_key"]: (r["b_key"], r["distance"], r["gap"]) for r in df.collect()} == {i: (i % 2 + 2 * (i < 2), 0, 0) for i in range(n)}
+    store = spark._jsparkSession.sharedState().statusStore()
+    run = store.executionsList().last().executionId()
+    values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+    made = []
+    for i in range(nodes.size()):
+        metrics = nodes.apply(i).metrics()
+        if nodes.apply(i).name().endswith("Join"):
+            made += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in (metrics.apply(k) for k in range(metrics.size())) if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    assert made and max(made) <= 2 * n
+
+
 def test_whole_graphs_see_every_row(spark, tmp_path):
     from corpusloom.plans import graphs
 
