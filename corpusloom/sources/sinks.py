@@ -148,18 +148,55 @@ def file_sums(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     return sorted(((r["sum"], r["path"]) for r in rows), key=lambda r: r[1])
 
 
-def release(tables: dict[str, tuple[DataFrame, tuple[str, ...]]], path: str, title: str, rows_of_a_part: int = 1_000_000) -> dict:
-    """Write tables (name: frame and sort keys) as JSON Lines with a manifest, SHA256SUMS of all files and a card, in one swap."""
+def joined_parts(spark: SparkSession, folder: str, suffix: str) -> tuple[str, str]:
+    """One file in place of the part files of folder, in their order: (SHA-256 of what was stored, its name).
+
+    Bytes stream through the driver's JVM a buffer at a time, so neither a part nor the file must fit in memory.
+    """
+    jvm, buffer = spark.sparkContext._jvm, 1 << 20
+    fs, where = _filesystem(spark, folder)
+    parts = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda p: (int(p.getName().split("-")[1].split(".")[0]), p.getName()))
+    name = f"part-00000.{suffix}"
+    file = jvm.org.apache.hadoop.fs.Path(where, name)
+
+    def copied(source, out) -> None:
+        try:
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, buffer, False)
+        finally:
+            source.close()
+
+    out = fs.create(file, False)
+    try:
+        for part in parts:
+            copied(fs.open(part), out)
+    finally:
+        out.close()
+    for part in parts:
+        fs.delete(part, False)
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    copied(jvm.java.security.DigestInputStream(fs.open(file), digest), jvm.java.io.OutputStream.nullOutputStream())
+    return bytes(digest.digest()).hex(), name
+
+
+def release(tables: dict[str, tuple[DataFrame, tuple[str, ...]]], path: str, title: str, rows_of_a_part: int | None = None) -> dict:
+    """Write tables (name: frame and sort keys) as JSON Lines with a manifest, SHA256SUMS of all files and a card, in one swap.
+
+    A table is one file whatever its size, or with rows_of_a_part as many files as that takes, each hashed whole by a task.
+    """
     spark = next(iter(tables.values()))[0].sparkSession
     manifest = {"title": title, "tables": {n: {"rows": df.count(), "logical_sha256": logical_hash(df, *order)} for n, (df, order) in sorted(tables.items())}}
 
     def write(folder: str) -> None:
-        for name, (df, order) in tables.items():
-            canonical_json(df, *order).write.option("maxRecordsPerFile", rows_of_a_part).text(f"{folder}/{name}")
+        sums = []
+        for name, (df, order) in sorted(tables.items()):
+            canonical_json(df, *order).write.option("maxRecordsPerFile", rows_of_a_part or 0).text(f"{folder}/{name}")
+            if rows_of_a_part is None:
+                digest, file = joined_parts(spark, f"{folder}/{name}", "jsonl")
+                sums.append((digest, f"{name}/{file}"))
         texts = {"manifest.json": json.dumps(manifest, sort_keys=True, indent=1), "README.md": f"# {title}\n\n" + "".join(f"- {n}: {t['rows']} rows\n" for n, t in manifest["tables"].items())}
         for name, text in texts.items():
             put_text(spark, f"{folder}/{name}", text)
-        sums = file_sums(spark, folder) + [(hashlib.sha256(t.encode()).hexdigest(), n) for n, t in sorted(texts.items())]
+        sums = (sums or file_sums(spark, folder)) + [(hashlib.sha256(t.encode()).hexdigest(), n) for n, t in sorted(texts.items())]
         put_text(spark, f"{folder}/SHA256SUMS", "".join(f"{s}  {n}\n" for s, n in sums))
 
     swapped_in(spark, path, write)

@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import search
 from corpusloom.sources import readers, sinks
@@ -97,6 +98,27 @@ def test_sinks(spark, tmp_path):
     assert os.path.exists(f"{tmp_path}/out/manifest.json")
 
 
+def test_a_released_table_is_one_file_in_order(spark, tmp_path):
+    import hashlib
+
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # so that sorting leaves several partitions
+    try:
+        df = spark.range(1000).select("id", (F.col("id") * 7 % 1000).alias("k")).repartition(3)
+        manifest = sinks.release({"t": (df, ("k",)), "none": (df.where("id < 0"), ("k",))}, f"file://{tmp_path}/out", "Test")
+        parts = sinks.release({"t": (df, ("k",))}, f"file://{tmp_path}/parts", "Test", 100)
+    finally:
+        spark.conf.unset(coalesce)
+    listed = dict(reversed(line.split("  ")) for line in open(f"{tmp_path}/out/SHA256SUMS").read().splitlines())
+    assert sorted(n.split("/")[0] for n in listed) == ["README.md", "manifest.json", "none", "t"]
+    assert all(hashlib.sha256(open(f"{tmp_path}/out/{name}", "rb").read()).hexdigest() == digest for name, digest in listed.items())
+    for table, rows in {"t": 1000, "none": 0}.items():
+        (file,) = [p for p in (tmp_path / "out" / table).iterdir() if p.name.startswith("part-")]
+        assert [json.loads(line)["k"] for line in file.read_text().splitlines()] == list(range(rows))
+        assert listed[f"{table}/{file.name}"] == manifest["tables"][table]["logical_sha256"]
+    assert parts["tables"]["t"] == manifest["tables"]["t"] and len(open(f"{tmp_path}/parts/SHA256SUMS").read().splitlines()) >= 12
+
+
 def test_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red house"), (2, "blue house")], "id int, text string")
     meta = sinks.build_index(docs, f"{tmp_path}/index", "id", {"text": 1.0})
