@@ -218,8 +218,8 @@ def draw_batch(docs: DataFrame, order: list[str], seed: str, corpus: str, exclud
     return chosen
 
 
-def name_search(nodes: DataFrame, query: str, limit: int = 20, label: str = "label", degree: str = "degree") -> DataFrame:
-    """Nodes whose label holds the query: 100 for equal labels, 50 for ones that begin with it, more for whole words."""
+def name_search(nodes: DataFrame, query: str, limit: int = 20, label: str = "label", degree: str = "degree", id_col: str = "id") -> DataFrame:
+    """Nodes whose label holds the query: 100 for equal labels, 50 for ones that begin with it, more for whole words; what is still equal goes by id."""
     low, wanted = F.lower(F.col(label)), query.strip().lower()
     points = F.when(low == wanted, 100).when(low.startswith(wanted), 50).otherwise(0) + F.when(F.concat(F.lit(" "), low, F.lit(" ")).contains(f" {wanted} "), 10).otherwise(0) + 5
-    return nodes.where(low.contains(wanted)).withColumn("points", points).orderBy(F.desc("points"), F.desc(degree), F.lower(F.col(label))).limit(limit)
+    return nodes.where(low.contains(wanted)).withColumn("points", points).orderBy(F.desc("points"), F.desc(degree), F.lower(F.col(label)), id_col).limit(limit)

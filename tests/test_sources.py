@@ -126,6 +126,14 @@ def test_index(spark, tmp_path):
     assert [r["id"] for r in search.bm25(docs, "id", {"text": 1.0}, "bl").collect()] == [2]
 
 
+def test_equal_names_are_found_by_id(spark):
+    """What points, degree and label leave equal goes by id, however the rows lie in partitions."""
+    nodes = spark.createDataFrame([(i * 37 % 101, "a widget" if i % 2 else "A Widget", 5 if i < 90 else None) for i in range(101)], "id bigint, label string, degree int")
+    first = sorted(i * 37 % 101 for i in range(90))[:7]
+    for n in (1, 3, 8):
+        assert [r["id"] for r in search.name_search(nodes.repartition(n, "label"), "Widget", 7).collect()] == first
+
+
 def test_a_failed_swap_leaves_what_was_there(spark, tmp_path):
 
     def put(text):
