@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -58,6 +59,41 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Free memory that Arrow's pool and malloc keep goes back to the system: workers live on, idle, beside the next stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
+
+
+def frugal(run):
+    """run, a function of Arrow batches, in a worker that gives back what it no longer holds, in the end and as texts pass."""
+
+    def out(batches):
+        import pyarrow as pa
+
+        def read():
+            seen = 0
+            for batch in batches:
+                seen += batch.nbytes
+                yield batch
+                del batch
+                if seen > BATCH_BYTES:
+                    seen = 0
+                    pa.default_memory_pool().release_unused()
+
+        try:
+            yield from run(read())
+        finally:
+            give_back()
+
+    return out
+
+
 def fitted(sample: DataFrame, fit):
     """What fit makes of the whole sample, a table of bounded size, on one executor: plain containers and numpy arrays.
 
@@ -72,7 +108,7 @@ def fitted(sample: DataFrame, fit):
     def run(batches):
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(list(batches), kinds)))], pa.binary())], names=["model"])
 
-    found = sample.coalesce(1).transform(in_batches).mapInArrow(run, "model binary").collect()
+    found = sample.coalesce(1).transform(in_batches).mapInArrow(frugal(run), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit(pa.Table.from_batches([], kinds))
 
 
@@ -105,4 +141,4 @@ def keep_rows(docs: DataFrame, text_col: str, kept, step: int = 1000) -> DataFra
                 part = batch.slice(start, step)
                 yield part.filter(pa.array(kept([(x.as_py() or "").encode() for x in part.column(at)])))
 
-    return plain.transform(in_batches).mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.transform(in_batches).mapInArrow(frugal(run), plain.schema).toDF(*docs.columns)

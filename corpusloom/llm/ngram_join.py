@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, quoted, stage
+from .common import frugal, in_batches, quoted, stage
 
 #: Classes of a bucket that all meet, probes of a larger one in a round, rounds of probes, spokes verified beside one hub.
 ALL_PAIRS, PROBES, PROBE_ROUNDS, CHUNK = 12, 6, 1, 48
@@ -103,9 +103,9 @@ def _together(sent: DataFrame, cells: int, size: int, combine, finish) -> bytes:
     import zstandard
 
     salted = sent.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-    once = salted.repartition(F.col("part"), F.col("salt")).select("part", "data").transform(in_batches).mapInArrow(add(False), _PARTS)
+    once = salted.repartition(F.col("part"), F.col("salt")).select("part", "data").transform(in_batches).mapInArrow(frugal(add(False)), _PARTS)
     out = None
-    for row in once.repartition(F.col("part")).transform(in_batches).mapInArrow(add(True), _PARTS).collect():
+    for row in once.repartition(F.col("part")).transform(in_batches).mapInArrow(frugal(add(True)), _PARTS).collect():
         piece = zstandard.decompress(bytes(row["data"]))
         if out is None:
             out = bytearray(cells // size * len(piece))
@@ -144,7 +144,7 @@ def frequency_levels(texts: DataFrame, n: int, bits: int) -> bytes:
             put(own)
         yield from _in_parts(counts, PART)
 
-    return _together(texts.select("text").transform(in_batches).mapInArrow(count, _PARTS), 1 << bits, PART, np.add, _level)
+    return _together(texts.select("text").transform(in_batches).mapInArrow(frugal(count), _PARTS), 1 << bits, PART, np.add, _level)
 
 
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -167,7 +167,7 @@ class Sieve:
                 table[_places(batch.column(0).to_numpy(), bits)] = 1
             yield from _in_parts(np.packbits(table), size)
 
-        found = _together(keys.transform(in_batches).mapInArrow(mark, _PARTS), 1 << (bits - 3), size, np.bitwise_or, lambda t: t.astype(np.uint8))
+        found = _together(keys.transform(in_batches).mapInArrow(frugal(mark), _PARTS), 1 << (bits - 3), size, np.bitwise_or, lambda t: t.astype(np.uint8))
         self.shared = keys.sparkSession.sparkContext.broadcast(found or bytes(1 << (bits - 3)))
 
     def passes(self, keys: np.ndarray) -> np.ndarray:
@@ -221,7 +221,7 @@ def prefixes(texts: DataFrame, n: int, percent: int, levels: bytes, bits: int) -
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, dtype=np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *(pa.array(marks[:, i].copy()) for i in range(4)), prefix, pa.array(maps, pa.binary())], names=names)
 
-    return texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").transform(in_batches).mapInArrow(run, "doc_id bigint, text_hash bigint, size bigint, f1 bigint, f2 bigint, g1 bigint, g2 bigint, prefix array<bigint>, parity binary")
+    return texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").transform(in_batches).mapInArrow(frugal(run), "doc_id bigint, text_hash bigint, size bigint, f1 bigint, f2 bigint, g1 bigint, g2 bigint, prefix array<bigint>, parity binary")
 
 
 def buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
             columns = [batch.column(0).take(pa.array(row[keep])), batch.column(1).take(pa.array(row[keep])), pa.array(token[keep]), pa.array(at[keep].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["g1", "g2", "bucket", "at"])
 
-    postings = groups.select("g1", "g2", "prefix").transform(in_batches).mapInArrow(post, "g1 bigint, g2 bigint, bucket bigint, at int")
+    postings = groups.select("g1", "g2", "prefix").transform(in_batches).mapInArrow(frugal(post), "g1 bigint, g2 bigint, bucket bigint, at int")
     meeting = postings.join(shared, "bucket")
     expanded = meeting.join(classes, ["g1", "g2"]).select("bucket", "cls", "size", "at")
     several = classes.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g1", "g2")
@@ -270,7 +270,7 @@ def possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
 
     of = lambda name: maps.select(F.col("cls").alias(name), F.col("size").alias(f"{name}_size"), F.col("parity").alias(f"{name}_map"))
     held = pairs.join(of("hub"), "hub").join(of("spoke"), "spoke").select("hub", "spoke", "hub_size", "hub_map", "spoke_size", "spoke_map")
-    return held.transform(in_batches).mapInArrow(run, "hub bigint, spoke bigint")
+    return held.transform(in_batches).mapInArrow(frugal(run), "hub bigint, spoke bigint")
 
 
 def linked(pairs: DataFrame, maps: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -290,7 +290,7 @@ def linked(pairs: DataFrame, maps: DataFrame, texts: DataFrame, n: int, percent:
         for batch in batches:
             yield batch.filter(pa.array(sieve.passes(batch.column(0).to_numpy())))
 
-    found = texts.where("doc_id is not null").select(F.col("doc_id").alias("least"), "text").transform(in_batches).mapInArrow(run, "least bigint, text binary").dropDuplicates(["least", "text"])
+    found = texts.where("doc_id is not null").select(F.col("doc_id").alias("least"), "text").transform(in_batches).mapInArrow(frugal(run), "least bigint, text binary").dropDuplicates(["least", "text"])
 
     def verify(key: tuple, rows: pa.Table) -> pa.Table:
         sets: dict[bool, dict[int, np.ndarray]] = {True: {}, False: {}}
@@ -348,7 +348,7 @@ def components(links: DataFrame) -> DataFrame:
     Tasks contract their own links first; then alternating large and small stars. Every round is written, and a round that
     changes nothing is the last.
     """
-    edges = stage(links.select("a", "b").transform(in_batches).mapInArrow(_contracted, "a bigint, b bigint").toDF("u", "v").distinct(), "edges")
+    edges = stage(links.select("a", "b").transform(in_batches).mapInArrow(frugal(_contracted), "a bigint, b bigint").toDF("u", "v").distinct(), "edges")
     state = lambda: edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now, before = state(), None
     while now != before:

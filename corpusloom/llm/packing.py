@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, quoted
+from .common import frugal, in_batches, quoted
 from .token_count import loaded
 
 #: Length of a sequence in tokens, and rows of a shard. Both are parameters; shards grow in number, not in size.
@@ -46,7 +46,7 @@ def measured(docs: DataFrame, tokenizer: str, id_col: str, source_col: str, text
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), clusters, pa.array(bpe.count_texts(texts), pa.int64())], names=["doc_id", "source", "cluster", "length"])
         bpe.known.clear()  # the worker goes on to other stages
 
-    return rows.transform(in_batches).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, cluster bigint, length bigint")
+    return rows.transform(in_batches).mapInArrow(frugal(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string, cluster bigint, length bigint")
 
 
 def bit_numbers(values: list) -> list[int]:

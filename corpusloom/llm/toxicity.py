@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitted, in_batches, keep_rows, quoted, stage
+from .common import fitted, frugal, in_batches, keep_rows, quoted, stage
 
 BLOCK, NEIGHBOURS, EASE = 64, 15, 0.05
 #: Chance that any term at all without bearing on the label passes as telling.
@@ -245,7 +245,7 @@ def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(df[there])], names=["number", "df"])
 
     text = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    found = text.transform(in_batches).mapInArrow(count, "number bigint, df bigint").groupBy("number").agg(F.sum("df").alias("df")).toArrow()
+    found = text.transform(in_batches).mapInArrow(frugal(count), "number bigint, df bigint").groupBy("number").agg(F.sum("df").alias("df")).toArrow()
     out = np.zeros(len(vocabulary), dtype=np.int64)
     out[found["number"].to_numpy()] = found["df"].to_numpy()
     return out

@@ -1,6 +1,12 @@
+import os
+import subprocess
+import sys
+
 import corpus_pipeline
-from corpusloom.llm import quality, toxicity
-from corpusloom.llm.common import table
+import pytest
+from corpusloom.llm import packing, quality, toxicity
+from corpusloom.llm.common import table, tokenizer_path
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 
@@ -84,3 +90,34 @@ def test_near_duplicates_go_by_id_and_text(spark, sf):
     docs = spark.createDataFrame([(3, b, 1), (5, a, 1), (5, b, 1), (6, a, 2), (6, a, 1), (5, a, 0)], "doc_id bigint, text string, more int")
     left = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
     assert sorted((r["doc_id"], r["text"] == a, r["more"]) for r in left) == [(3, False, 1), (5, True, 0)]
+
+
+LEFT_BEHIND = """
+import pickle, re, sys
+import pyarrow as pa
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+run = pickle.load(open(sys.argv[1], "rb"))
+batch = lambda k: pa.record_batch({"doc_id": pa.array(range(2000), pa.int64()), "source": pa.array(["x"] * 2000), "cluster": pa.nulls(2000, pa.int64()),
+    "text": pa.array([" ".join(f"{(k * 2000 + i) * 15 + j:x}w" * 3 for j in range(15)) * 12 for i in range(2000)])})
+rows = lambda n: sum(b.num_rows for b in run(map(batch, range(n))))
+assert rows(1) == 2000
+before = held()
+assert rows(10) == 20000
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_a_worker_gives_back_what_packing_took(spark, sf, monkeypatch, tmp_path):
+    """The process that counted tokens lives on beside the next stages, so what it used must not stay with it."""
+    seen = []
+    frame = type(table(spark, sf, "documents"))
+    whole = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, run, *rest, **more: seen.append(run) or whole(self, run, *rest, **more))
+    packing.measured(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), "doc_id", "source", "text", None)
+    (tmp_path / "run").write_bytes(cloudpickle.dumps(seen[-1]))
+    got = subprocess.run([sys.executable, "-c", LEFT_BEHIND, str(tmp_path / "run")], capture_output=True, text=True, env={**os.environ, "PYTHONPATH": os.pathsep.join(sys.path)}, check=True)
+    assert float(got.stdout) < 12
